@@ -4,8 +4,7 @@ Plan: the distinct non-null foreign keys (pre-aggregated, with their row
 counts) meet the parents' lifetimes once; rows are then joined back to the
 verdict of their key. Keys absent altogether are the left anti-join part;
 keys that exist at some time carry their lifetimes so that each row is judged
-at its own time. Keys that hold more than ``1/HOT_SHARE`` of the rows are
-salted on both sides of the join back.
+at its own time. The join back salts hot keys.
 """
 
 from __future__ import annotations
@@ -15,12 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from biblyst.operators.skew import salted_lookup
 from biblyst.session import materialize
 
-#: A key with more than this part of all rows is salted; at most HOT_SHARE such keys exist.
-HOT_SHARE = 200
-SALT = 32
-
 
 def handle(c: str | Column) -> Column:
     """Comparison form of a handle or short id; empty reads as NULL."""
@@ -52,14 +48,8 @@ def orphan_rows(refs: DataFrame, parents: DataFrame, always: DataFrame | None =
         parents = parents.unionByName(always.distinct().withColumn("lives", F.array(F.struct(F.lit("0001-01-01").cast("timestamp_ntz").alias("born"), F.lit(None).cast("timestamp_ntz").alias("gone")))))
     keys = refs.groupBy("target", "fk").agg(F.count("*").alias("_n"))
     verdict = materialize(keys.join(parents, ["target", "fk"], "left"), "fk-verdicts")
-    total = verdict.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    hot = verdict.crossJoin(F.broadcast(total)).where(F.col("_n") * HOT_SHARE > F.col("_total")).select("target", "fk").withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)  # at most HOT_SHARE rows by construction
-    salted = verdict.join(hot, ["target", "fk"], "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("_hot", "_n")
-    rows = refs.join(hot, ["target", "fk"], "left")
-    rows = rows.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in refs.columns]), F.lit(SALT)).cast("int")).otherwise(0)).drop("_hot")
     alive = F.coalesce(F.exists("lives", lambda x: F.coalesce(x["born"] <= F.col("at"), F.lit(True)) & F.coalesce(x["gone"] > F.col("at"), F.lit(True))), F.lit(False))
-    return rows.join(salted, ["target", "fk", "_salt"]).where(~alive).drop("_salt", "lives")
+    return salted_lookup(refs, verdict, ["target", "fk"]).where(~alive).drop("lives")
 
 
 def corpus_refs(person_works: DataFrame, cit_internal: DataFrame) -> DataFrame:
