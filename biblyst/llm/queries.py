@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from biblyst.llm.components import connected_components
 from biblyst.llm.near_dup import near_duplicates
+from biblyst.llm.vectors import nearest
 from biblyst.operators.orphans import handle
 from biblyst.plans.core_problems import table
 
@@ -18,6 +19,12 @@ def article_texts(articles: DataFrame) -> DataFrame:
     return articles.select(handle("Handle").alias("handle"), text.alias("text"), words.alias("n")).where("handle is not null and n >= 20").groupBy("handle").agg(F.min("text").alias("text"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "articles").select(handle("Handle").alias("handle"), "embeddings")
+    near = nearest(vectors, "handle", "embeddings", 64, 5)
+    return near.select(F.least("id", "near_id").alias("handle_a"), F.greatest("id", "near_id").alias("handle_b")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = article_texts(table(spark, sf_dir, "articles"))
     return near_duplicates(docs, "handle", "text", n=3, weighted=0.25, plain=0.5).select(F.col("id").alias("handle"), F.col("group_id").alias("group_handle"))
@@ -28,7 +35,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(links, "a", "b", "handle", "group_handle")
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
