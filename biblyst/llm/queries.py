@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblyst.llm.components import connected_components
+from biblyst.llm.leaks import leaks
+from biblyst.llm.mixing import mix_sources
 from biblyst.llm.near_dup import near_duplicates
+from biblyst.llm.sentences import sentences
 from biblyst.llm.vectors import nearest
 from biblyst.operators.orphans import handle
 from biblyst.plans.core_problems import table
@@ -35,7 +38,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(links, "a", "b", "handle", "group_handle")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p9_plan": p9_plan, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
