@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from biblyst.llm.components import connected_components
 from biblyst.llm.leaks import leaks
 from biblyst.llm.mixing import mix_sources
+from biblyst.llm.names import link_names
 from biblyst.llm.near_dup import near_duplicates
 from biblyst.llm.sentences import sentences
 from biblyst.llm.vectors import nearest
 from biblyst.operators.orphans import handle
-from biblyst.plans.core_problems import table
+from biblyst.plans.core_problems import author_values, table
+from biblyst.session import materialize
 
 
 def article_texts(articles: DataFrame) -> DataFrame:
@@ -33,6 +35,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, "handle", "text", n=3, weighted=0.25, plain=0.5).select(F.col("id").alias("handle"), F.col("group_id").alias("group_handle"))
 
 
+def _links(spark: SparkSession, sf_dir: str, claims: bool = True) -> DataFrame:
+    values = materialize(author_values(table(spark, sf_dir, "articles")), "authors")
+    persons = table(spark, sf_dir, "persons").select(handle("short_id").alias("sid"), F.col("name_first").alias("first"), F.col("name_last").alias("last"), F.col("name_full").alias("full"))
+    works = table(spark, sf_dir, "person_works").where("work_type is null or lower(trim(work_type)) not like 'editor%'").select(handle("short_id").alias("sid"), handle("work_handle").alias("handle"))
+    return link_names(values, "author_name", ["handle", "author_pos"], persons, works if claims else None, "handle").withColumnRenamed("sid", "short_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "version_links").select(handle("source").alias("a"), handle("target").alias("b"))
     return connected_components(links, "a", "b", "handle", "group_handle")
@@ -54,7 +67,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p9_plan": p9_plan, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_plan": p9_plan, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
