@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Counts ``df``; give it a materialized table.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever they were started. Once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_biblyst_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="biblyst-")) / "biblyst.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._biblyst_shipped = True
