@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from biblyst.llm.components import connected_components
 from biblyst.llm.leaks import leaks
+from biblyst.llm.matching import match_records
 from biblyst.llm.mixing import mix_sources
 from biblyst.llm.names import link_names
 from biblyst.llm.near_dup import near_duplicates
@@ -51,6 +52,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(links, "a", "b", "handle", "group_handle")
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "articles").select(handle("Handle").alias("id"), "title", "year", "journal", "doi")
+    right = table(spark, sf_dir, "oa_works").select(F.col("work_id").alias("id"), "title", F.col("publication_year").alias("year"), F.col("source_name").alias("journal"), "doi")
+    return match_records(left, right).withColumnsRenamed({"left_id": "handle", "right_id": "work_id"})
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_matches(spark, sf_dir).select("handle", "work_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -67,7 +78,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_plan": p9_plan, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p9_plan": p9_plan, "p9_report": p9_report, "p10_found": p10_found}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
