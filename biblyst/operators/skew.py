@@ -15,10 +15,10 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str =
 
     ``lookup[n]`` holds how many rows of ``rows`` carry the key; it is dropped.
     Rows of hot keys are spread over ``salt`` copies of their lookup row. Give
-    a materialized ``lookup``: it is read three times. NULL keys match nothing.
+    a materialized ``lookup``: it is read three times, once at the call. NULL keys match nothing.
     """
-    total = lookup.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total"))
-    hot = lookup.join(F.broadcast(total), F.col(n) * HOT_SHARE > F.col("_total")).select(*keys, F.lit(True).alias("_hot"))
+    total = lookup.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = lookup.where(F.col(n) * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)  # at most HOT_SHARE rows by construction
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
     right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot", n)
