@@ -56,7 +56,7 @@ _LETTERS = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "đ": "d", "æ": "ae
 _TITLE = re.compile(r"\b(?:prof|dr|phd|mr|mrs|ms|sir|jr|sr|iii|ii|iv)\b\.?")
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def fold(s: str) -> str:
     s = "".join(c for c in unicodedata.normalize("NFKD", s.lower().translate(_LETTERS)) if not unicodedata.combining(c))
     return re.sub("(?<=[aou])e(?=[^\\W\\d_])", "", s)  # written-out umlauts, alike on both sides
@@ -77,7 +77,7 @@ def _given(words: list[str]) -> tuple[str, str]:
     return (parts[0], "".join(p[0] for p in parts[1:])) if parts else ("", "")
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def readings(name: str) -> tuple[tuple[str, str, str], ...]:
     """(surname, given, middle initials) of a name, in each order it may stand in."""
     s = re.sub(r'"[^"]*"', " ", fold(name))
@@ -101,7 +101,7 @@ def readings(name: str) -> tuple[tuple[str, str, str], ...]:
     return tuple(out)
 
 
-@lru_cache(500_000)
+@lru_cache(200_000)
 def edits(a: str, b: str, most: int = 2) -> int:
     """Edits (insert, delete, change, swap neighbours) from a to b, or most + 1."""
     if a == b:
@@ -122,7 +122,7 @@ def edits(a: str, b: str, most: int = 2) -> int:
     return last[-1]
 
 
-@lru_cache(500_000)
+@lru_cache(200_000)
 def given_similarity(a: str, b: str) -> float:
     """1 for the same name or its short form, 0.9 for a slip in writing, else 0."""
     if a == b:
