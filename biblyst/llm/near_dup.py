@@ -4,7 +4,7 @@
    equal sets collapse to one representative (their smallest id).
 2. Shingles in at least ``FREQUENT`` of all texts are counted exactly (two-pass
    heavy hitters); the rarer ones share the top weight, so only a bounded table
-   of weights travels. The weight is (1 + ln tf) * (idf / top idf) ** IDF_POWER.
+   of weights travels. The weight is (1 + ln tf) * max(FLOOR, idf / top idf).
 3. Improved consistent weighted sampling draws BANDS * ROWS samples per text.
    Texts that agree on all samples of a band share a bucket.
 4. Buckets of up to ALL_PAIRS texts give all their pairs; larger ones first give
@@ -31,7 +31,7 @@ from biblyst.llm.text import distinct_runs, mix
 from biblyst.session import materialize, small
 
 FREQUENT = 1e-3
-IDF_POWER = 3.0
+FLOOR = 0.35  # least weight of a shingle at tf 1: groups of copies make their own shingles frequent
 BANDS = 40
 ROWS = 3
 ALL_PAIRS = 32
@@ -72,7 +72,7 @@ class Weights:
         self.values = values[order]
         top = np.log(1 / FREQUENT)
         idf = np.log(max(rows, 1) / np.maximum(counts[order], 1))
-        self.w = np.clip(idf / top, 0.02, 1) ** IDF_POWER
+        self.w = np.clip(idf / top, FLOOR, 1)
 
     def __call__(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = np.ones(len(h))
@@ -201,6 +201,9 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, n: int = 5, weighted:
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
     sets = materialize(shingle_sets(docs, n).withColumn("rid", F.xxhash64("id")), "shingles")
+    if sets.groupBy("rid").count().where("count > 1").limit(1).count():
+        once = docs.groupBy("id").agg(F.min("text").alias("text"))
+        sets = materialize(shingle_sets(once, n).withColumn("rid", F.xxhash64("id")), "shingles")
     # smallest id of each set of copies stands for them
     reps = materialize(sets.groupBy("fp1", "fp2").agg(F.min_by("rid", "id").alias("rep"), F.count("*").alias("copies")), "copies")
     groups = sets.select("id", "rid", "fp1", "fp2")

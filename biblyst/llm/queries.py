@@ -33,7 +33,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = article_texts(table(spark, sf_dir, "articles"))
-    return near_duplicates(docs, "handle", "text", n=3, weighted=0.25, plain=0.5).select(F.col("id").alias("handle"), F.col("group_id").alias("group_handle"))
+    return near_duplicates(docs, "handle", "text", n=3, weighted=0.15, plain=0.5).select(F.col("id").alias("handle"), F.col("group_id").alias("group_handle"))
 
 
 def _links(spark: SparkSession, sf_dir: str, claims: bool = True) -> DataFrame:
