@@ -207,7 +207,7 @@ def bibliographic_coupling(spark: SparkSession, d: str) -> DataFrame:
 _PSTATS = f"""{_B}, {W}, {PP}, tot AS (SELECT cited, count(*) AS tc FROM c GROUP BY 1),
   ins AS (SELECT w.short_id, a.year, a.category, CASE WHEN a.year IS NOT NULL THEN coalesce(tc, 0) END AS tc FROM w JOIN a ON a.handle = w.work_handle LEFT JOIN tot ON tot.cited = a.handle),
   g AS (SELECT short_id, count(*) AS n_works_in_corpus, coalesce(sum(tc), 0)::BIGINT AS total_citations, count(*) FILTER (category = '{TOP}') AS a_count, min(year) AS first_year, max(year) AS last_year FROM ins GROUP BY 1),
-  m AS (SELECT short_id, category FROM ins GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY short_id ORDER BY count(*) DESC, category ASC NULLS LAST) = 1),
+  m AS (SELECT short_id, category FROM ins GROUP BY short_id, category QUALIFY row_number() OVER (PARTITION BY short_id ORDER BY count(*) DESC, category ASC NULLS LAST) = 1),
   ps AS (SELECT p.short_id, coalesce(n, 0) AS n_works_total, coalesce(n_works_in_corpus, 0) AS n_works_in_corpus, coalesce(total_citations, 0) AS total_citations, coalesce(a_count, 0) AS a_count, first_year, last_year, m.category AS primary_category
     FROM (SELECT DISTINCT short_id FROM pp) p LEFT JOIN (SELECT short_id, count(*) AS n FROM w GROUP BY 1) t USING (short_id) LEFT JOIN g USING (short_id) LEFT JOIN m USING (short_id))"""
 
