@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblyst.operators.skew import salted_lookup
+from biblyst.session import materialize
+
+#: Citers of a set of hubs that meet all others of it in one group.
+HUB_CITERS = 1000
+
 
 def internal_edges(edges: DataFrame, articles: DataFrame) -> DataFrame:
     """Edges both of whose ends are articles; duplicates stay. Joins on the handle that varies most come first."""
@@ -91,16 +97,39 @@ def versions_of(links: DataFrame, both: bool) -> DataFrame:
 def coupling(edges: DataFrame, least: int, hot: int) -> DataFrame:
     """(a, b, shared, strength): pairs of articles with at least ``least`` references in common.
 
-    References cited by more than ``hot`` articles couple everything and are
-    left out by definition of this measure; that bounds the pairs per key.
+    Every reference counts; ``hot`` shapes the plan, not the result. A pair is
+    met once, at the rarest of its common references. If even that one is cited
+    by more than ``hot`` articles (a hub), it is met at its rarest ``least`` (at
+    most two) hubs together, so the citers of one hub are never paired.
     """
-    e = edges.distinct()
-    few = e.groupBy("cited").agg(F.count("*").alias("n")).where(F.col("n").between(2, hot)).select("cited")
-    e2 = e.join(few, "cited", "left_semi")
-    refs = e.groupBy("citing").agg(F.count("*").alias("refs"))
-    pairs = e2.select("cited", F.col("citing").alias("a")).join(e2.select("cited", F.col("citing").alias("b")), "cited").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    pairs = pairs.join(refs.toDF("a", "ra"), "a").join(refs.toDF("b", "rb"), "b")
-    return pairs.select("a", "b", "shared", (F.col("shared") / (F.col("ra") + F.col("rb") - F.col("shared"))).alias("strength"))
+    e = materialize(edges.distinct(), "edges")
+    counts = e.groupBy("cited").agg(F.count("*").alias("n")).where("cited is not null and n > 1")
+    counts = materialize(counts.select("cited", "n", F.col("n").alias("_n"), F.monotonically_increasing_id().alias("ref")), "cited")
+    used = salted_lookup(e.where("citing is not null"), counts, ["cited"]).groupBy("citing").agg(F.array_sort(F.collect_list(F.struct("n", "ref"))).alias("r"))
+    hubs = F.transform(F.filter("r", lambda x: x["n"] > hot), lambda x: x["ref"])
+    rare = F.transform(F.filter("r", lambda x: x["n"] <= hot), lambda x: x["ref"])
+    used = materialize(used.select(F.monotonically_increasing_id().alias("id"), "citing", rare.alias("rare"), hubs.alias("hubs")), "references")  # rarest first
+    every = F.concat("rare", "hubs").alias("r")
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str], key: Column, n: int) -> DataFrame:
+        both = left.join(right, on).where("a < b").select("a", "b", key.alias("key"), F.array_intersect("x", "y").alias("both"))
+        # further common references meet the pair again, which doesn't count
+        return both.where((F.size("both") >= least) & (F.slice("both", 1, n) == F.col("key"))).select("a", "b", F.size("both").cast("long").alias("shared"))
+
+    few = used.select("id", every, F.explode("rare").alias("ref"))
+    few = meet(few.toDF("a", "x", "ref"), few.toDF("b", "y", "ref"), ["ref"], F.array("ref"), 1)
+    later = lambda x, i: F.transform(F.slice("hubs", i + 2, F.size("hubs")), lambda y: F.array(x, y))
+    sets = F.transform("hubs", lambda x: F.array(x)) if least < 2 else F.flatten(F.transform("hubs", later))
+    many = used.select("id", every, F.explode(sets).alias("key"))
+    sizes = materialize(many.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("parts", (1 + F.col("_n") / HUB_CITERS).cast("int")), "hub-sizes")
+    many = salted_lookup(many, sizes, ["key"])
+    left = many.select("key", F.col("id").alias("a"), F.col("r").alias("x"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = many.select("key", F.col("id").alias("b"), F.col("r").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = few.unionByName(meet(left, right, ["key", "part"], F.col("key"), min(least, 2)))
+
+    names = used.select("id", "citing").join(e.groupBy("citing").agg(F.count("*").alias("refs")), "citing")
+    pairs = pairs.join(names.toDF("ca", "a", "ra"), "a").join(names.toDF("cb", "b", "rb"), "b")
+    return pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "shared", (F.col("shared") / (F.col("ra") + F.col("rb") - F.col("shared"))).alias("strength"))
 
 
 def null_safe_differs(a: Column, b: Column) -> Column:

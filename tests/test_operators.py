@@ -176,3 +176,18 @@ def test_rate_limit_and_first_write(spark):
     store = spark.createDataFrame([("a", 1)], "h string, v int")
     new = spark.createDataFrame([("a", 2), ("b", 4), ("b", 3)], "h string, v int")
     assert rows(telemetry.first_write_wins(store, new, "h", F.col("v"))) == [("a", 1), ("b", 3)]
+
+
+def test_coupling_counts_hubs(spark):
+    from itertools import combinations
+
+    # h1, h2, h3 are cited by more than ``hot`` articles, r by two of them; NULL ends and repeats occur
+    refs = {f"a{i:02}": {"h1"} | ({"h2"} if i % 2 else set()) | ({"h3"} if i % 3 == 0 else set()) | ({"r"} if i in (2, 3) else set()) | {f"own{i}"} for i in range(24)}
+    edges = [(a, r) for a, rs in refs.items() for r in rs]
+    df = spark.createDataFrame([*edges, *edges[:9], (None, "h1"), ("a00", None)], "citing string, cited string")
+    size = {a: len(r) + (a == "a00") for a, r in refs.items()}
+    for least in (1, 2, 3):
+        want = {(a, b, s, round(s / (size[a] + size[b] - s), 6)) for a, b in combinations(sorted(refs), 2) if (s := len(refs[a] & refs[b])) >= least}
+        for hot in (2, 5, 50):
+            got = [(r["a"], r["b"], r["shared"], round(r["strength"], 6)) for r in graph.coupling(df, least, hot).collect()]
+            assert len(got) == len(set(got)) and set(got) == want, (least, hot)
