@@ -135,7 +135,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, d
     its limit. plan: (doc_id, source, tokens, repeats), used documents only;
     report: (source, target_share, max_repeats, docs, tokens, budget_tokens,
     used_tokens, actual_share, most_repeats). A listed source without tokens
-    has an actual share of 0 and its weight goes to the others. Targets are
+    or repeats has an actual share of 0 and its weight goes to the others. Targets are
     normalised to sum 1; NULL or negative ones read as 0.
     """
     spark = docs.sparkSession
@@ -147,9 +147,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, d
     if len(joined) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     n = [float(r["n"] or 0) for r in joined]
-    t = [r["t"] if x > 0 else 0.0 for r, x in zip(joined, n)]
+    m = [float(max(r["m"], 0)) for r in joined]
+    t = [r["t"] if k * x > 0 else 0.0 for r, k, x in zip(joined, m, n)]
     t = [x / sum(t) for x in t] if sum(t) else t
-    m = [float(r["m"]) for r in joined]
     if total is None:
         total = int(min([k * x / s for k, x, s in zip(m, n, t) if s > 0], default=0))
     w, _ = tilted_weights(n, t, m, total) if sum(t) and total else ([0.0] * len(n), 1.0)

@@ -138,3 +138,13 @@ def test_chunked_documents(spark):
 
 def test_entropy_of_equal_shares():
     assert abs(entropy([0.25] * 4) - math.log(4)) < 1e-12
+
+
+def test_sources_that_may_not_be_used_leave_the_plan_whole(spark):
+    d = spark.createDataFrame([(i, "one two three four", "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    for m in (0, -1):
+        t = spark.createDataFrame([("a", 0.5, m), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+        plan, report = mix_sources(d, t)
+        r = {x["source"]: x for x in report.collect()}
+        assert {(x["source"], x["repeats"]) for x in plan.collect()} == {("b", 2)} and plan.count() == 100
+        assert r["a"]["used_tokens"] == 0 and r["a"]["max_repeats"] == m and r["b"]["actual_share"] == 1
