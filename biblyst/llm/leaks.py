@@ -111,7 +111,8 @@ class ItemIndex:
         doc, self.first, prints, self.exact = windows(self.units, off, n)
         self.item = np.array(ids, np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
         self.search = HammingIndex(prints, radius).search if len(prints) else None
-        self.wide = letters and all(_WIDE.search(t or "") for t in texts)
+        # no window lacks a CJK letter, so documents without one hold none of them
+        self.wide = letters and all(len(run) < n for t in texts for run in _WIDE.split("".join(_LETTER.findall((t or "").lower()))))
         # weight of a unit: the rarer among the items, the heavier
         values, counts = np.unique(self.units, return_counts=True)
         self.values, self.weights = values, np.log(1 + len(self.units) / counts)
@@ -132,7 +133,7 @@ class ItemIndex:
 
     def find(self, texts: list[str | None], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, item id, similarity) per verified pair of windows."""
-        if self.wide:
+        if self.wide and least >= 1:
             texts = [t if t and _WIDE.search(t) else None for t in texts]
         units, off = hashed_letters(texts) if self.letters else hashed_words(texts)
         doc, first, prints, exact = windows(units, off, self.n)

@@ -148,3 +148,10 @@ def test_sources_that_may_not_be_used_leave_the_plan_whole(spark):
         r = {x["source"]: x for x in report.collect()}
         assert {(x["source"], x["repeats"]) for x in plan.collect()} == {("b", 2)} and plan.count() == 100
         assert r["a"]["used_tokens"] == 0 and r["a"]["max_repeats"] == m and r["b"]["actual_share"] == 1
+
+
+def test_leaks_of_latin_passages_in_letter_items(spark):
+    latin = "panel data from forty seven regions 1998"
+    items = spark.createDataFrame([(1, "zh", f"该报告写道{latin}公共保险过高"), (2, "ja", "物価は上昇を続けたが賃金は横ばいであり家計の負担は増している")], "item_id long, lang string, text string")
+    docs = spark.createDataFrame([(1, f"We use {latin} here."), (2, "Nothing of it"), (3, "物価は上昇を続けたが賃金は横ばいであり家計の負担は増している。")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()) == [(1, 1), (3, 2)]
