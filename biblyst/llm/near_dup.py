@@ -12,8 +12,11 @@
    members outside the bucket's largest group meet the whole bucket. Buckets
    that hold more than FREQUENT of all texts are starred map-side, so no task
    receives them.
-5. Pairs are verified by weighted Jaccard similarity, and, where asked, by the
-   plain Jaccard similarity of the sets; verified pairs are joined to groups.
+5. Sizes, weights and a MASK_WORDS * 64 bit mask of each set bound the similarity
+   of a pair from above; pairs that can't reach the thresholds end there, before
+   any set travels. The others are verified by weighted Jaccard similarity, and,
+   where asked, by the plain Jaccard similarity of the sets; verified pairs are
+   joined to groups.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ FLOOR = 0.35  # least weight of a shingle at tf 1: groups of copies make their o
 BANDS = 40
 ROWS = 3
 ALL_PAIRS = 32
+MASK_WORDS = 8
+#: Members of a large bucket that one task holds against its loose members.
+BUCKET_PART = 1000
 POOL = 1 << 16  # entries of the table of random variates
 U = np.uint64
 
@@ -116,8 +122,19 @@ def icws_bands(h: np.ndarray, w: np.ndarray, offsets: np.ndarray, bands: int, ro
     return keys
 
 
+MARKS = ["n", "w", *(f"m{i}" for i in range(MASK_WORDS))]
+
+
+def masks(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Words of each set's bit mask: bit h mod (64 * MASK_WORDS) for every shingle h."""
+    bit = mix(h.view(U)) % U(64 * MASK_WORDS)
+    one = U(1) << (bit & U(63))
+    word = bit >> U(6)
+    return [np.bitwise_or.reduceat(np.where(word == U(k), one, U(0)), at) for k in range(MASK_WORDS)]
+
+
 def band_keys(sets: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
-    """(id, keys) of representative sets."""
+    """(rid, keys) of representative sets, with their size n, weight w and mask."""
     shared = sets.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +145,34 @@ def band_keys(sets: DataFrame, weights: Weights, bands: int, rows: int) -> DataF
             off = lists.offsets.to_numpy().astype(np.int64)
             h = lists.values.to_numpy()[off[0] : off[-1]]
             tf = b.column(2).values.to_numpy()[off[0] : off[-1]]
-            keys = icws_bands(h, shared.value(h, tf), off - off[0], bands, rows)
+            off = off - off[0]
+            w = shared.value(h, tf)
+            keys = icws_bands(h, w, off, bands, rows)
             ends = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, _i64(keys.ravel()))], names=["rid", "keys"])
+            marks = [pa.array(np.diff(off), pa.int64()), pa.array(np.add.reduceat(w, off[:-1]), pa.float64()), *map(_i64, masks(h, off[:-1]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, _i64(keys.ravel())), *marks], names=["rid", "keys", *MARKS])
 
-    return sets.select("rid", "shingles", "tf").mapInArrow(run, "rid long, keys array<long>")
+    kinds = ", ".join(f"m{i} long" for i in range(MASK_WORDS))
+    return sets.select("rid", "shingles", "tf").mapInArrow(run, f"rid long, keys array<long>, n long, w double, {kinds}")
+
+
+def possible(pairs: DataFrame, marks: DataFrame, weighted: float, plain: float | None) -> DataFrame:
+    """Pairs (a, b) whose similarities may reach the thresholds: none is lost.
+
+    A bit of one mask that the other lacks stands for a shingle that the other
+    set lacks, and no shingle weighs less than FLOOR.
+    """
+    left = marks.select(F.col("rid").alias("a"), *[F.col(c).alias(f"x_{c}") for c in MARKS])
+    right = marks.select(F.col("rid").alias("b"), *[F.col(c).alias(f"y_{c}") for c in MARKS])
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    lack_x = sum((F.bit_count(F.col(f"x_m{i}").bitwiseAND(F.bitwise_not(f"y_m{i}"))) for i in range(MASK_WORDS)), F.lit(0))
+    lack_y = sum((F.bit_count(F.col(f"y_m{i}").bitwiseAND(F.bitwise_not(f"x_m{i}"))) for i in range(MASK_WORDS)), F.lit(0))
+    heavy = F.least(F.col("x_w") - FLOOR * lack_x, F.col("y_w") - FLOOR * lack_y)
+    ok = heavy * (1 + weighted) >= weighted * (F.col("x_w") + F.col("y_w")) - 1e-6
+    if plain is not None:
+        most = F.least(F.col("x_n") - lack_x, F.col("y_n") - lack_y)
+        ok = ok & (most * (1 + plain) >= plain * (F.col("x_n") + F.col("y_n")) - 1e-6)
+    return both.where(ok).select("a", "b")
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +197,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(big, pa.int64())], names=["a", "b", "big"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, weights: Weights, weighted: float, plain: float | None) -> DataFrame:
+def verify(pairs: DataFrame, marks: DataFrame, sets: DataFrame, weights: Weights, weighted: float, plain: float | None) -> DataFrame:
     """(a, b) of the pairs whose similarity reaches the thresholds."""
     shared = sets.sparkSession.sparkContext.broadcast(weights)
 
@@ -179,8 +219,9 @@ def verify(pairs: DataFrame, sets: DataFrame, weights: Weights, weighted: float,
             k = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(k), batch.column(1).take(k)], names=["a", "b"])
 
+    pairs = materialize(possible(pairs, marks, weighted, plain), "possible")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "pair-ids")
-    used = materialize(sets.join(small(ids, 2_000_000), "rid", "left_semi").select("rid", "shingles", "tf"), "pair-sets")
+    used = materialize(sets.join(small(ids), "rid", "left_semi").select("rid", "shingles", "tf"), "pair-sets")
     left = used.toDF("a", "xa", "ta")
     right = used.toDF("b", "xb", "tb")
     full = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "ta", "xb", "tb")
@@ -229,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, n: int = 5, weighted:
         found = found.unionByName(stars)
     found = materialize(found, "candidates")
     pairs = found.select("a", "b").distinct()
-    linked = materialize(verify(pairs, uniq, weights, weighted, plain).unionByName(copies), "links")
+    linked = materialize(verify(pairs, keys, uniq, weights, weighted, plain).unionByName(copies), "links")
     big = found.where("big is not null").select(F.col("big").alias("key")).distinct()
     if big.limit(1).count():
         linked = _large_buckets(keys, materialize(big, "big"), linked, uniq, weights, weighted, plain)
@@ -253,5 +294,10 @@ def _large_buckets(keys: DataFrame, big: DataFrame, linked: DataFrame, sets: Dat
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
     loose = rows.join(largest, "key").where("comp <> top").select("key", F.col("rid").alias("x"), F.col("comp").alias("cx"))
-    pairs = rows.join(loose, "key").where("comp <> cx").select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
-    return materialize(verify(materialize(pairs, "rest"), sets, weights, weighted, plain).unionByName(linked.select("a", "b")).distinct(), "links")
+    # a bucket is split, and each part meets copies of its loose members
+    parts = sizes.groupBy("key").agg((1 + F.sum("n") / BUCKET_PART).cast("int").alias("parts"))
+    split = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")
+    rows = rows.join(parts, "key").select("key", "rid", "comp", split)
+    loose = loose.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = rows.join(loose, ["key", "part"]).where("comp <> cx").select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
+    return materialize(verify(pairs, keys, sets, weights, weighted, plain).unionByName(linked.select("a", "b")).distinct(), "links")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from biblyst.llm.components import connected_components
 from biblyst.llm.heavy import heavy_hitters
-from biblyst.llm.near_dup import Weights, icws_bands, near_duplicates
+from biblyst.llm.near_dup import Weights, band_keys, icws_bands, near_duplicates, possible, shingle_sets
 from biblyst.llm.text import WORD, distinct_runs
 
 
@@ -89,6 +89,35 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.limit(0), "i", "t").count() == 0
 
 
+def test_bounds_keep_every_similar_pair(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    docs = [(k, " ".join(base[: 40 + k] + [f"x{k}y{rng.randrange(9)}" for _ in range(k)])) for k in range(40)]
+    sets = shingle_sets(spark.createDataFrame(docs, "id long, text string"), 3).withColumn("rid", F.col("id"))
+    weights = Weights(np.zeros(0, np.int64), np.zeros(0, np.int64), 40)
+    marks = band_keys(sets, weights, 4, 2)
+    held = {r["id"]: set(r["shingles"]) for r in sets.collect()}
+    pairs = [(a, b) for a in held for b in held if a < b]
+    kept = {(r["a"], r["b"]) for r in possible(spark.createDataFrame(pairs, "a long, b long"), marks, 0.1, 0.5).collect()}
+    similar = {(a, b) for a, b in pairs if len(held[a] & held[b]) >= 0.5 * len(held[a] | held[b])}
+    assert similar and similar <= kept and len(kept) < len(pairs)
+
+
+def test_bucket_of_several_large_groups(spark):
+    # a run of words that all texts share brings several groups of more than ALL_PAIRS texts into the same buckets
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(60)]
+    docs = []
+    for g in range(3):
+        own = [f"g{g}w{k}" for k in range(50)]
+        for j in range(45):
+            v = list(own)
+            v[rng.randrange(50)] = f"own{g}{j}"
+            docs.append((f"d{g}-{j:02d}", " ".join(shared + v)))
+    got = {r["id"]: r["group_id"] for r in near_duplicates(spark.createDataFrame(docs, "i string, t string"), "i", "t", n=3, weighted=0.1, plain=0.7).collect()}
+    assert got == brute(dict(docs).items(), 3, 0.7) and len(set(got.values())) == 3
+
+
 def test_long_text(spark):
     t = " ".join(f"w{k % 5003}" for k in range(60_000))
     got = near_duplicates(spark.createDataFrame([(1, t), (2, t + " tail"), (3, "else " * 10)], "i long, t string"), "i", "t")
