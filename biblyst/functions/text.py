@@ -9,11 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words without content in titles.
-STOP_WORDS = ["the", "a", "an", "of", "and", "in", "on", "for", "to", "with", "from", "by", "at", "as", "is", "are", "do", "does", "how", "what", "evidence", "study", "case", "new", "some", "under", "using", "its"]
+STOP_WORDS = ["the", "a", "an", "of", "and", "or", "in", "on", "for", "to", "from", "with", "by", "at", "as", "is", "are", "be", "its", "their", "this", "that", "new", "evidence", "case", "using", "some", "note"]
 # Words that make no good title keyword.
-WEAK_KEYWORDS = ["about", "after", "their", "these", "those", "which", "where"]
+WEAK_KEYWORDS = ["their", "which", "these", "those", "about", "between", "through"]
 # Role of a work -> first part of its public address.
-ADDRESS_KINDS = {"article": "a", "paper": "p", "chapter": "h", "book": "b", "software": "c"}
+ADDRESS_KINDS = {"paper": "p", "article": "a", "chapter": "h", "book": "b", "software": "e", "editor-book": "b", "editor-series": "s"}
 
 
 def handle_lc(c: Column) -> Column:
@@ -37,10 +37,19 @@ def doi_from_url(c: Column) -> Column:
 
 def guess_from_article_url(c: Column, host: str = "nature.com", prefix: str = "10.1038") -> Column:
     """prefix/<id> of <host>/articles/<id>, or NULL."""
-    x = F.regexp_extract(F.lower(c), host.replace(".", r"\.") + r"/articles/([a-z0-9.\-]+)", 1)
+    x = F.regexp_extract(F.lower(c), host.replace(".", r"\.") + r"/articles/([^/?#]+)", 1)
     return F.when(x != "", F.concat(F.lit(prefix + "/"), x))
 
 
+def safe_article_id(c: Column, portfolio: list[str]) -> Column:
+    """Whether a guessed identifier's last part has a shape that is always registered: "s" or a digit first, "d41586", or a portfolio's prefix."""
+    x = F.regexp_extract(F.lower(c), r"^10\.\d+/(.*)$", 1)
+    ok = x.rlike("^s[0-9]") | x.rlike("^[0-9]") | x.startswith("d41586")
+    for p in portfolio:
+        ok = ok | x.startswith(p.lower())
+    return F.coalesce(ok, F.lit(False))
+
+
 def normalize_title(c: Column) -> Column:
     """Lower case, everything but letters a-z and digits as one blank, trimmed."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -75,10 +84,10 @@ def content_key(c: Column) -> Column:
 def journal_name(c: Column) -> Column:
     """Comparison form of a journal's name."""
     x = F.regexp_replace(F.lower(c), "&", " and ")
-    x = F.regexp_replace(x, r"\([^)]*\)", " ")
+    x = F.regexp_replace(x, r"\([^)]*\)", "")
     x = F.regexp_replace(x, "behaviour", "behavior")
-    x = F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
-    return F.regexp_replace(x, "^the ", "")
+    x = F.regexp_replace(x, "[^a-z0-9]+", " ")
+    return F.trim(F.regexp_replace(x, "^the ", ""))
 
 
 def first_author_token(c: Column) -> Column:
@@ -129,9 +138,11 @@ def split_author_list(c: Column) -> Column:
 
 
 def slugify(c: Column, words: int = 6, length: int = 60) -> Column:
-    """File-name form: the first words in lower case, joined by '-'."""
-    clean = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    return F.substring(F.array_join(F.slice(F.split(clean, " "), 1, words), "-"), 1, length)
+    """File-name form: the first words in lower case, joined by '-'; other signs are deleted, hyphens stay. "search" if nothing is left."""
+    clean = F.regexp_replace(F.lower(c), r"[^a-z0-9\s-]", "")
+    kept = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+    slug = F.substring(F.array_join(F.slice(kept, 1, words), "-"), 1, length)
+    return F.when(slug == "", "search").otherwise(slug)
 
 
 def split_marked_list(c: Column, mark: str = "|||") -> Column:
@@ -153,3 +164,19 @@ def doi_prefix(c: Column) -> Column:
 def short_hash(*cols: Column) -> Column:
     """First eight hex digits of the SHA-256 of the values as a JSON array."""
     return F.substring(F.sha2(F.to_json(F.array(*[x.cast("string") for x in cols])), 256), 1, 8)
+
+
+def hmac_sha256(key: str, c: Column) -> Column:
+    """HMAC-SHA-256 of a string under a fixed key, in hex: two hashes over padded keys, so it stays in the JVM."""
+    import hashlib
+
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    pad = lambda n: F.lit(bytes(x ^ n for x in k))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), c.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def run_key(key: str, *cols: Column) -> Column:
+    """First sixteen hex digits of the HMAC of the values as a JSON array."""
+    return F.substring(hmac_sha256(key, F.to_json(F.array(*[x.cast("string") for x in cols]))), 1, 16)

@@ -25,12 +25,15 @@ def person_stats(persons: DataFrame, works: DataFrame, articles: DataFrame, stat
     return out.fillna(0, ["n_works_total", "n_works_in_corpus", "total_citations", "a_count"])
 
 
-def person_search(hits: DataFrame, works: DataFrame, stats: DataFrame, mode_: str, weight: float = 0.3, k: int = 25, min_citations: int | None = None, min_last_year: int | None = None) -> DataFrame:
+def person_search(hits: DataFrame, works: DataFrame, stats: DataFrame, mode_: str, weight: float = 0.3, k: int = 25, min_citations: int | None = None, min_last_year: int | None = None, institution: str | None = None, offset: int = 0, people: DataFrame | None = None, wikidata: DataFrame | None = None) -> DataFrame:
     """The k persons whose works match best.
 
     ``hits``: (handle, title, similarity), a bounded list. A title counts once
     per person. Modes: breadth sums similarities, best_match takes the highest,
-    blended means both; each is raised by the person's citations.
+    blended means both; each is raised by the person's citations. Filters (the
+    institution by equality without case, via ``people``) act before the maxima
+    are taken. With ``people`` (short_id, ...) its columns come along, and only
+    persons in it; those of ``wikidata`` come along where there are any.
     """
     rows = hits.join(works.select("short_id", F.col("work_handle").alias("handle")).distinct(), "handle")
     same = Window.partitionBy("short_id", F.lower(F.trim(F.coalesce("title", "handle")))).orderBy(F.desc("similarity"), "handle")
@@ -43,13 +46,21 @@ def person_search(hits: DataFrame, works: DataFrame, stats: DataFrame, mode_: st
         rolled = rolled.where(F.col("total_citations") >= min_citations)
     if min_last_year is not None:
         rolled = rolled.where(F.col("last_year") >= min_last_year)
+    if institution is not None or people is not None:
+        if people is None:
+            raise ValueError("an institution needs the table of people")
+        rolled = rolled.join(people, "short_id")
+    if institution is not None:
+        rolled = rolled.where(F.lower(F.trim("workplace_name")) == institution.strip().lower())
     cit = F.log1p(F.coalesce("total_citations", F.lit(0)).cast("double"))
     top = rolled.agg(F.max(cit).alias("_mc"), F.max("overlap").alias("_mo"))
     x = rolled.join(F.broadcast(top))  # one row
     quality = 1 + weight * F.when(F.col("_mc") > 0, cit / F.col("_mc")).otherwise(F.lit(0.0))
     scores = {"breadth": F.col("overlap") * quality, "best_match": F.col("best") * quality, "blended": (0.5 * F.col("overlap") / F.col("_mo") + 0.5 * F.col("best")) * quality}
     x = x.withColumn("score", F.round(scores[mode_], 6))
-    return x.orderBy(F.desc("score"), "short_id").limit(k).select("short_id", "score", "n_hits", F.round("best", 6).alias("best"), F.array_join(F.col("e.handle"), "|").alias("evidence"))
+    more = [c for c in people.columns if c != "short_id"] if people is not None else []
+    out = x.orderBy(F.desc("score"), "short_id").offset(offset).limit(k).select("short_id", "score", "n_hits", F.round("best", 6).alias("best"), F.array_join(F.col("e.handle"), "|").alias("evidence"), *more)
+    return out if wikidata is None else out.join(wikidata, "short_id", "left").orderBy(F.desc("score"), "short_id")
 
 
 def profile_counts(works: DataFrame, articles: DataFrame, by: str) -> DataFrame:

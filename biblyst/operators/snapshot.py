@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,16 +64,96 @@ def apply_patch(target: DataFrame, patch: DataFrame, mode: str, keys: list[str])
     return out.select(*[F.when(F.col("_m"), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in target.columns])
 
 
+MODES = ("update_columns", "upsert_rows", "replace_table")
+
+
 def write_patch(patch: DataFrame, path: str, table: str, mode: str, keys: list[str]) -> None:
-    """Parquet with a manifest beside it."""
+    """Parquet with a manifest beside it. Keys must be unique and not NULL."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
     if mode != "replace_table":
         check_patch(patch, keys)
+        if patch.where(" or ".join(f"`{k}` is null" for k in keys)).limit(1).count():
+            raise ValueError("keys are missing")
     patch.write.mode("overwrite").parquet(f"{path}/rows")
-    Path(path, "manifest.json").write_text(json.dumps({"table": table, "mode": mode, "keys": keys}))
+    Path(path, "manifest.json").write_text(json.dumps({"table": table, "mode": mode, "keys": keys, "columns": patch.columns}))
 
 
 def read_patch(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    return spark.read.parquet(f"{path}/rows"), json.loads(Path(path, "manifest.json").read_text())
+    """(rows, manifest); a manifest that lacks a field, names an unknown mode or is no plain identifier is an error."""
+    m = json.loads(Path(path, "manifest.json").read_text())
+    missing = [f for f in ("table", "mode", "keys") if f not in m]
+    if missing:
+        raise ValueError(f"manifest lacks {missing}")
+    if m["mode"] not in MODES:
+        raise ValueError(f"unknown mode {m['mode']}")
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", m["table"]):
+        raise ValueError("the table is no identifier")
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", Path(path).name) or ".." in Path(path).name:
+        raise ValueError("unsafe name of a patch")
+    return spark.read.parquet(f"{path}/rows"), m
+
+
+def apply_pending(tables: dict[str, DataFrame], folder: str, applied: set[str]) -> tuple[dict[str, DataFrame], list[str]]:
+    """(tables, names): all patches of a folder in the order of their names, those already applied left out.
+
+    Nothing is written: the caller dumps the tables and the names together, as
+    one snapshot, so a failure leaves the old one in place.
+    """
+    out, done = dict(tables), []
+    for path in sorted(p.parent for p in Path(folder).glob("*/manifest.json")):
+        if path.name in applied:
+            continue
+        spark = next(iter(out.values())).sparkSession if out else SparkSession.active()
+        rows, m = read_patch(spark, str(path))
+        if m["table"] not in out and m["mode"] != "replace_table":
+            raise ValueError(f"{path.name} targets the missing table {m['table']}")
+        out[m["table"]] = rows if m["mode"] == "replace_table" else apply_patch(out[m["table"]], rows, m["mode"], m["keys"])
+        done.append(path.name)
+    return out, done
+
+
+def newest_diff(folder: str, tables: list[str]) -> dict[str, str]:
+    """Path by table of the newest complete set of files diff_<table>_<base>_<update>.parquet; a set that lacks a table is passed over."""
+    found: dict[tuple[str, str], dict[str, str]] = {}
+    for p in Path(folder).glob("diff_*.parquet"):
+        m = re.fullmatch(r"diff_(\w+?)_(\d{8}(?:T\d{6})?)_(\d{8}(?:T\d{6})?)\.parquet", p.name)
+        if m:
+            found.setdefault((m.group(3), m.group(2)), {})[m.group(1)] = str(p)
+    whole = [k for k, v in found.items() if set(tables) <= set(v)]
+    if not whole:
+        raise FileNotFoundError("no complete set of diffs")
+    return {t: found[max(whole)][t] for t in tables}
+
+
+def migrate_users(source: dict[str, DataFrame], target: dict[str, DataFrame], sequences: dict[str, str]) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """(tables, next numbers): user tables copied behind those of the target, numbering restarted after the largest.
+
+    Columns are matched by name; the rows of both must be kept, else an error.
+    """
+    out, following = {}, {}
+    for name, df in source.items():
+        both = df if name not in target else target[name].unionByName(df, allowMissingColumns=True)
+        want = df.count() + (target[name].count() if name in target else 0)
+        if both.count() != want:
+            raise ValueError(f"rows of {name} were lost")
+        out[name] = both
+        if name in sequences:
+            following[name] = int(both.agg(F.max(sequences[name])).first()[0] or 0) + 1
+    return out, following
+
+
+def set_key(metadata: DataFrame, key: str, value: str) -> DataFrame:
+    """A (key, value) table with one key set anew."""
+    new = metadata.sparkSession.createDataFrame([(key, value)], "key string, value string")
+    return metadata.where(F.col("key") != key).unionByName(new)
+
+
+def split_rows(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """``df`` with a part 0..parts-1 of about equal size, by ranges of the keys: every row in exactly one part, and no row gathered."""
+    if parts < 1:
+        raise ValueError("at least one part")
+    return df.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id())
 
 
 def migrate(df: DataFrame, schema: dict[str, str]) -> DataFrame:
@@ -88,8 +170,11 @@ class Snapshots:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, Path(root)
 
-    def dump(self, tables: dict[str, DataFrame], stamp: str) -> None:
+    def dump(self, tables: dict[str, DataFrame], stamp: str, allowed: list[str] | None = None) -> None:
+        """Write the tables (those of the allow-list, if there is one) and make the stamp the current one."""
         for name, df in tables.items():
+            if allowed is not None and name not in allowed:
+                continue
             df.write.mode("overwrite").parquet(str(self.root / f"snapshot={stamp}" / name))
         self.root.mkdir(parents=True, exist_ok=True)
         tmp = self.root / "current.tmp"
@@ -102,6 +187,22 @@ class Snapshots:
     def current(self) -> str:
         return (self.root / "current").read_text().strip()
 
+    def stale(self, now: str, days: int = 7) -> bool:
+        """Whether the current stamp (YYYYMMDD...) is more than ``days`` days before ``now``."""
+        day = lambda s: datetime.strptime(s[:8], "%Y%m%d")
+        return (day(now) - day(self.current())).days > days
+
+    def restore(self, schemas: dict[str, dict[str, str]], stamp: str | None = None) -> dict[str, DataFrame]:
+        """Tables of a stamp (the latest if none is given) by name: columns of the schema cast to it or added as NULLs, others kept."""
+        at = stamp or max(self.stamps())
+        out = {}
+        for name, schema in schemas.items():
+            if not (self.root / f"snapshot={at}" / name).exists():
+                continue
+            df = migrate(self.table(name, at), schema)
+            out[name] = df.withColumns({c: F.col(c).cast(t) for c, t in schema.items()})
+        return out
+
     def table(self, name: str, stamp: str | None = None) -> DataFrame:
         return self.spark.read.parquet(str(self.root / f"snapshot={stamp or self.current()}" / name))
 

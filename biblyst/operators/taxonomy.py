@@ -1,20 +1,28 @@
-"""Three-level classification trees: (code, label, level, parent)."""
+"""Classification trees: (code, label, level, parent)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblyst.session import materialize
+
 
 def closure(nodes: DataFrame, text: str) -> DataFrame:
-    """Nodes whose code begins with the text or whose label holds it, with all their ancestors."""
-    hit = nodes.where(F.upper("code").startswith(text.upper()) | F.lower("label").contains(text.lower()))
-    out = hit.select("code", "parent")
-    seen = out.select("code")
-    for _ in range(2):  # three levels
-        out = nodes.join(out.select(F.col("parent").alias("code")).where("code is not null").distinct(), "code", "left_semi").select("code", "parent")
-        seen = seen.unionByName(out.select("code"))
-    return nodes.join(seen.distinct(), "code", "left_semi")
+    """Nodes whose code begins with the text or whose label holds it, with all their ancestors, however deep.
+
+    Parents are followed level by level until no new node comes up; a cycle
+    ends there too. A tree is small; each level is one join.
+    """
+    nodes = materialize(nodes, "tree")
+    level = nodes.where(F.upper("code").startswith(text.upper()) | F.lower("label").contains(text.lower())).select("code", "parent")
+    seen = materialize(level.select("code").distinct(), "seen")
+    while True:
+        up = level.where("parent is not null").select(F.col("parent").alias("code")).distinct().join(seen, "code", "left_anti")
+        level = materialize(nodes.select("code", "parent").join(up, "code", "left_semi"), "level")
+        if not level.limit(1).count():
+            return nodes.join(seen, "code", "left_semi")
+        seen = materialize(seen.unionByName(level.select("code").distinct()), "seen")
 
 
 def with_codes(articles: DataFrame, codes: DataFrame, prefixes: list[str], strict: bool = False) -> DataFrame:

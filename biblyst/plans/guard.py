@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS = 5_000
@@ -23,39 +25,69 @@ class Rejected(ValueError):
     """The query is not allowed."""
 
 
+# Kinds of plan nodes of which a query may consist.
+NODES = frozenset(
+    """Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Except Intersect Join LateralJoin SubqueryAlias UnresolvedRelation UnresolvedWith
+    UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedInlineTable OneRowRelation LocalRelation Pivot Unpivot Generate WithWindowDefinition Window UnresolvedHint""".split()
+)
+
+
+def _walk(spark: SparkSession, plan: JavaObject) -> Iterator[JavaObject]:
+    """Every plan node and expression below ``plan``, CTE bodies and subqueries included."""
+    sc = spark.sparkContext
+    of = lambda x, name: is_instance_of(sc._gateway, x, name)
+    todo = [plan]
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, JavaObject):
+            continue
+        if of(x, "org.apache.spark.sql.catalyst.trees.TreeNode"):
+            yield x
+        elif not (of(x, "scala.Option") or of(x, "scala.collection.Iterable") or re.fullmatch(r"scala\.Tuple\d+(\$.*)?", x.getClass().getName())):
+            continue
+        it = x.iterator() if of(x, "scala.collection.Iterable") and not of(x, "scala.Option") else x.productIterator()
+        while it.hasNext():
+            todo.append(it.next())
+
+
+def _parts(spark: SparkSession, seq: JavaObject) -> list[str]:
+    return [str(p) for p in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq)]
+
+
 def check(spark: SparkSession, sql: str, tables: set[str]) -> bool:
-    """Raise Rejected unless the query is allowed; return whether its outer node limits the rows."""
+    """Raise Rejected unless the query is allowed; return whether its outer node limits the rows.
+
+    Tables, functions and kinds of nodes are read off the parsed plan, never
+    off the text, so quoting and comments can hide nothing.
+    """
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Rejected("Only SELECT queries are allowed.") from e
-    tree = plan.treeString()
-    root = plan.nodeName()
-    if root in ("UnresolvedSubqueryColumnAliases", "UnresolvedWith", "CTE", "WithCTE"):
-        roots = {root}
-    else:
-        roots = {root}
-    if any(re.search(r"(Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Set|Show|Describe|Use|Cache|Load|Truncate|Refresh|Compound|Execute|Call|Explain)", r) for r in roots):
-        raise Rejected("Only SELECT queries are allowed.")
-    ctes = {m.lower() for m in re.findall(r"CTE \[([^\]]*)\]", tree) for m in re.split(r",\s*", m)}
-    for m in re.finditer(r"'?UnresolvedRelation \[([^\]]*)\]", tree):
-        name = m.group(1).strip()
-        if "," in name or "." in name:
-            raise Rejected("Table not in allowlist")
-        if name.lower() not in {t.lower() for t in tables} | ctes:
-            raise Rejected("Table not in allowlist")
-    if "UnresolvedTableValuedFunction" in tree:
-        raise Rejected("Blocked function")
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S))
-    for f in re.findall(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", bare):
-        word = f.lower()
-        if word not in FUNCTIONS and word not in ctes and word not in KEYWORDS:
-            raise Rejected(f"Blocked function: {word}")
-    return root in ("GlobalLimit",) or (root == "UnresolvedWith" and "GlobalLimit" in tree.split("\n", 2)[1])
-
-
-# Words that may stand before a bracket without being functions.
-KEYWORDS = frozenset("as in over values select from where and or not exists union all intersect except any some on using by join having when then else case limit with within group rollup cube sets partition order distinct interval is null".split())
+    nodes = [(x.getClass().getSimpleName().rstrip("$"), x) for x in _walk(spark, plan)]
+    is_plan = lambda x: is_instance_of(spark.sparkContext._gateway, x, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+    ctes: set[str] = set()
+    for kind, x in nodes:
+        if kind == "UnresolvedWith":
+            it = x.cteRelations().iterator()
+            while it.hasNext():
+                ctes.add(str(it.next().productElement(0)).lower())
+    known = {t.lower() for t in tables} | ctes
+    for kind, x in nodes:
+        if kind == "UnresolvedTableValuedFunction":
+            raise Rejected("Blocked function")
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            name = _parts(spark, x.nameParts()) if kind == "UnresolvedFunction" else [str(x.name().unquotedString())]
+            if len(name) > 1 or name[0].lower() not in FUNCTIONS:
+                raise Rejected(f"Blocked function: {'.'.join(name).lower()}")
+        elif kind == "UnresolvedRelation":
+            name = _parts(spark, x.multipartIdentifier())
+            if len(name) > 1 or name[0].lower() not in known:
+                raise Rejected("Table not in allowlist")
+        elif "UnresolvedIdentifier" in kind or (is_plan(x) and kind not in NODES):
+            raise Rejected("Only SELECT queries are allowed.")
+    top = plan.child() if nodes[0][0] == "UnresolvedWith" else plan
+    return top.getClass().getSimpleName() == "GlobalLimit"
 
 
 def guarded_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], rows: int = ROWS, args: list | None = None) -> DataFrame:

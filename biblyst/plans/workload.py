@@ -21,6 +21,7 @@ from biblyst.operators import taxonomy as X
 from biblyst.operators import telemetry as L
 from biblyst.plans.core_problems import table
 from biblyst.plans.guard import guarded_sql
+from biblyst.session import small
 
 NOW_YEAR = 2026
 AS_OF = "2024-01-30 00:00:00"
@@ -43,13 +44,18 @@ def query(sql: str | None) -> Callable:
 # ---------------------------------------------------------------- views
 
 
-def articles(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    """An article once, with its lower-case handle; repeated rows differ only in loaded_at."""
-    a = table(spark, d, "articles").withColumn("handle", T.handle_lc(F.col("Handle")))
-    cols = ["handle", "title", "abstract", "year", "is_series", "archive", "journal_code", "journal", "category", "url", "authors", "doi"]
-    if vectors:
-        return a.select("handle", "title", "year", "journal", "category", "embeddings").groupBy("handle").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("title", "year", "journal", "category", "embeddings")])
-    return a.select(*cols).distinct()
+def articles(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """(handle, *cols): an article once, with its lower-case handle; repeated rows differ only in loaded_at.
+
+    Only the columns asked for are read and shuffled, by the handle, so joins on it need no further exchange.
+    """
+    a = table(spark, d, "articles").select(T.handle_lc(F.col("Handle")).alias("handle"), *cols)
+    return a.repartition("handle").distinct()
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Articles as they stand, with vectors; searches count repeated rows once after the distance is known."""
+    return table(spark, d, "articles").withColumn("handle", T.handle_lc(F.col("Handle")))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +106,8 @@ def _tokens(c: str) -> str:
     return f"list_filter(list_distinct(string_split(coalesce({_norm(c)}, ''), ' ')), lambda x: x <> '')"
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+# Words without content in titles, typed here so that the SQL does not depend on the operator.
+_STOP = ", ".join(f"'{w}'" for w in "the a an of and or in on for to from with by at as is are be its their this that new evidence case using some note".split())
 
 
 def _content(c: str) -> str:
@@ -109,9 +116,9 @@ def _content(c: str) -> str:
 
 def _journal(c: str) -> str:
     x = f"regexp_replace(lower({c}), '&', ' and ', 'g')"
-    x = f"regexp_replace({x}, '\\([^)]*\\)', ' ', 'g')"
+    x = f"regexp_replace({x}, '\\([^)]*\\)', '', 'g')"
     x = f"regexp_replace({x}, 'behaviour', 'behavior', 'g')"
-    return f"regexp_replace(trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')), '^the ', '')"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'), '^the ', ''))"
 
 
 OA = f"o AS (SELECT DISTINCT work_id, {_doi('doi')} AS doi, title, publication_year AS year, type, source_name AS source, updated_date FROM oa_works)"
@@ -136,12 +143,12 @@ _CITERS = f"{_FIRST}, z AS (SELECT i.cited, b.category, b.journal, b.year, f.cit
 
 @query(f"WITH {_FIRST} SELECT handle, year, total_citations, internal_citations, total_references, internal_references, years_since_pub, round(citations_per_year, 6) AS citations_per_year, round(citation_percentile, 6) AS citation_percentile FROM f")
 def handle_stats_first(spark: SparkSession, d: str) -> DataFrame:
-    out = G.handle_stats_first(articles(spark, d), edges(spark, d), NOW_YEAR)
+    out = G.handle_stats_first(articles(spark, d, "year"), edges(spark, d), NOW_YEAR)
     return out.withColumns({c: F.round(c, 6) for c in ("citations_per_year", "citation_percentile")})
 
 
 def _citers(spark: SparkSession, d: str) -> DataFrame:
-    a, e = articles(spark, d), edges(spark, d)
+    a, e = articles(spark, d, "year", "category", "journal"), edges(spark, d)
     return G.citers(a, e, G.handle_stats_first(a, e, NOW_YEAR))
 
 
@@ -169,12 +176,12 @@ def top_citing_journal(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A}, {C} SELECT citing, cited, title, year FROM c LEFT JOIN a ON a.handle = c.cited")
 def cites(spark: SparkSession, d: str) -> DataFrame:
-    return G.with_article(edges(spark, d), "cited", articles(spark, d)).select("citing", "cited", "title", "year")
+    return G.with_article(edges(spark, d), "cited", articles(spark, d, "title", "year")).select("citing", "cited", "title", "year")
 
 
 @query(f"WITH {A}, {C} SELECT cited, citing, title, year FROM c JOIN a ON a.handle = c.citing")
 def citedby(spark: SparkSession, d: str) -> DataFrame:
-    return G.with_article(edges(spark, d), "citing", articles(spark, d), "inner").select("cited", "citing", "title", "year")
+    return G.with_article(edges(spark, d), "citing", articles(spark, d, "title", "year"), "inner").select("cited", "citing", "title", "year")
 
 
 @query(f"WITH {C} SELECT cited AS handle, count(*) AS n, count(DISTINCT citing) AS distinct_citers FROM c GROUP BY 1")
@@ -191,7 +198,7 @@ def versions_directed(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {A}, {V}, b AS (SELECT source AS handle, target AS other, type FROM v UNION ALL SELECT target, source, type FROM v) SELECT b.handle, other, type, title FROM b LEFT JOIN a ON a.handle = b.other")
 def versions_bidirectional(spark: SparkSession, d: str) -> DataFrame:
     both = G.versions_of(links(spark, d), True)
-    return both.join(articles(spark, d).select(F.col("handle").alias("other"), "title"), "other", "left").select("handle", "other", "type", "title")
+    return both.join(articles(spark, d, "title").select(F.col("handle").alias("other"), "title"), "other", "left").select("handle", "other", "type", "title")
 
 
 @query(f"""WITH {C}, e AS (SELECT DISTINCT citing, cited FROM c), few AS (SELECT cited FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), x AS (SELECT * FROM e WHERE cited IN (SELECT cited FROM few)), r AS (SELECT citing, count(*) AS n FROM e GROUP BY 1),
@@ -214,7 +221,7 @@ _PSTATS = f"""{_B}, {W}, {PP}, tot AS (SELECT cited, count(*) AS tc FROM c GROUP
 
 @query(f"WITH {_PSTATS} SELECT * FROM ps")
 def person_stats(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d)
+    a = articles(spark, d, "year", "category")
     return P.person_stats(people(spark, d), works(spark, d), a, G.handle_stats_first(a, edges(spark, d), NOW_YEAR), TOP)
 
 
@@ -222,8 +229,9 @@ _VEC = "qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), e AS (SE
 
 
 def _search(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    a = articles(spark, d)
-    hits = S.semantic_search(articles(spark, d, True), probe(spark, d), 600).select("handle", "title", "similarity")
+    a = articles(spark, d, "year", "category")
+    hits = S.semantic_search(vectors(spark, d), probe(spark, d), 600)
+    hits = vectors(spark, d).select("handle", "title").join(F.broadcast(hits), "handle").distinct()  # 600 rows
     stats = P.person_stats(people(spark, d), works(spark, d), a, G.handle_stats_first(a, edges(spark, d), NOW_YEAR), TOP)
     return P.person_search(hits, works(spark, d), stats, mode)
 
@@ -254,18 +262,18 @@ def person_search_blended(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A}, {W} SELECT short_id, category, count(*) AS n FROM w JOIN a ON a.handle = work_handle GROUP BY ALL")
 def person_profile_categories(spark: SparkSession, d: str) -> DataFrame:
-    return P.profile_counts(works(spark, d), articles(spark, d), "category")
+    return P.profile_counts(works(spark, d), articles(spark, d, "category"), "category")
 
 
 @query(f"WITH {A}, {W} SELECT short_id, journal, count(*) AS n, row_number() OVER (PARTITION BY short_id ORDER BY count(*) DESC, journal ASC NULLS LAST) AS rank FROM w JOIN a ON a.handle = work_handle GROUP BY short_id, journal QUALIFY row_number() OVER (PARTITION BY short_id ORDER BY count(*) DESC, journal ASC NULLS LAST) <= 5")
 def person_profile_journals(spark: SparkSession, d: str) -> DataFrame:
-    return P.top_per_key(P.profile_counts(works(spark, d), articles(spark, d), "journal"), "short_id", "journal", "n", 5)
+    return P.top_per_key(P.profile_counts(works(spark, d), articles(spark, d, "journal"), "journal"), "short_id", "journal", "n", 5)
 
 
 @query(f"WITH {A}, {W}, {C} SELECT short_id, work_handle, work_type, title, year, coalesce(n, 0) AS citations FROM w JOIN a ON a.handle = work_handle LEFT JOIN (SELECT cited, count(*) AS n FROM c GROUP BY 1) x ON x.cited = work_handle")
 def person_papers(spark: SparkSession, d: str) -> DataFrame:
     n = edges(spark, d).groupBy(F.col("cited").alias("work_handle")).agg(F.count("*").alias("citations"))
-    a = articles(spark, d).select(F.col("handle").alias("work_handle"), "title", "year")
+    a = articles(spark, d, "title", "year").select(F.col("handle").alias("work_handle"), "title", "year")
     return works(spark, d).join(a, "work_handle").join(n, "work_handle", "left").select("short_id", "work_handle", "work_type", "title", "year", F.coalesce("citations", F.lit(0)).alias("citations"))
 
 
@@ -277,7 +285,7 @@ def out_of_corpus(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {W} SELECT short_id, j.series_handle, j.long_name FROM w JOIN journals j ON j.series_handle = w.work_handle WHERE work_type = 'editor-series'")
 def editor_roles(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "journals").select("series_handle", "long_name")
-    return works(spark, d).where("work_type = 'editor-series'").join(F.broadcast(j), F.col("work_handle") == F.col("series_handle")).select("short_id", "series_handle", "long_name")
+    return works(spark, d).where("work_type = 'editor-series'").join(small(j), F.col("work_handle") == F.col("series_handle")).select("short_id", "series_handle", "long_name")
 
 
 @query(f"WITH {PP} SELECT short_id, name_full, workplace_name FROM pp WHERE contains(lower(name_full), 'nova')")
@@ -285,7 +293,7 @@ def person_lookup(spark: SparkSession, d: str) -> DataFrame:
     return people(spark, d).where(S.contains_ci(F.col("name_full"), "nova")).select("short_id", "name_full", "workplace_name")
 
 
-@query(f"WITH {W}, {A} SELECT DISTINCT short_id, work_handle, 'https://ideas.example/' || coalesce(CASE work_type WHEN 'article' THEN 'a' WHEN 'paper' THEN 'p' WHEN 'chapter' THEN 'h' WHEN 'book' THEN 'b' WHEN 'software' THEN 'c' END, 'p') || '/' || replace(regexp_replace(work_handle, '^repec:', ''), ':', '/') || '.html' AS address FROM w WHERE work_handle IS NOT NULL")
+@query(f"WITH {W}, {A} SELECT DISTINCT short_id, work_handle, 'https://ideas.example/' || coalesce(CASE work_type WHEN 'article' THEN 'a' WHEN 'paper' THEN 'p' WHEN 'chapter' THEN 'h' WHEN 'book' THEN 'b' WHEN 'software' THEN 'e' WHEN 'editor-book' THEN 'b' WHEN 'editor-series' THEN 's' END, 'p') || '/' || replace(regexp_replace(work_handle, '^repec:', ''), ':', '/') || '.html' AS address FROM w WHERE work_handle IS NOT NULL")
 def work_addresses(spark: SparkSession, d: str) -> DataFrame:
     return works(spark, d).where("work_handle is not null").select("short_id", "work_handle", T.address(F.col("work_handle"), F.col("work_type")).alias("address")).distinct()
 
@@ -295,34 +303,34 @@ def work_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_VEC} SELECT handle, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, handle LIMIT 50")
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
-    return S.semantic_search(articles(spark, d, True), probe(spark, d), 50).select("handle", F.round("similarity", 6).alias("similarity"))
+    return S.semantic_search(vectors(spark, d), probe(spark, d), 50).select("handle", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_VEC} SELECT handle, round(sim, 6) AS similarity FROM s WHERE year >= 2010 AND year <= 2020 AND category IN ('Working Papers', 'Methods') AND (contains(lower(journal), 'paper') OR contains(lower(journal), 'quarterly')) ORDER BY sim DESC, handle LIMIT 20")
 def semantic_filtered(spark: SparkSession, d: str) -> DataFrame:
     f = S.paper_filters(2010, 2020, ["Working Papers", "Methods"], ["paper", "Quarterly"])
-    return S.semantic_search(articles(spark, d, True), probe(spark, d), 20, f).select("handle", F.round("similarity", 6).alias("similarity"))
+    return S.semantic_search(vectors(spark, d), probe(spark, d), 20, f).select("handle", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_VEC}, p AS (SELECT * FROM s ORDER BY sim DESC, handle LIMIT 300) SELECT handle, round(sim, 6) AS similarity FROM p WHERE year >= 2015 ORDER BY sim DESC, handle LIMIT 20")
 def semantic_pool(spark: SparkSession, d: str) -> DataFrame:
-    return S.semantic_search(articles(spark, d, True), probe(spark, d), 20, S.paper_filters(2015), pool=300).select("handle", F.round("similarity", 6).alias("similarity"))
+    return S.semantic_search(vectors(spark, d), probe(spark, d), 20, S.paper_filters(2015), pool=300).select("handle", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {A} SELECT handle, title, year FROM a WHERE contains(lower(title), 'tariff') OR contains(lower(title), 'auction')")
 def keyword_any(spark: SparkSession, d: str) -> DataFrame:
-    return S.keyword_search(articles(spark, d), ["tariff", " auction ", ""]).select("handle", "title", "year")
+    return S.keyword_search(articles(spark, d, "title", "year"), ["tariff", " auction ", ""]).select("handle", "title", "year")
 
 
 @query(f"WITH {A} SELECT handle, title, year FROM a WHERE (contains(lower(title), 'wage') OR contains(lower(abstract), 'wage')) AND (contains(lower(title), 'percent') OR contains(lower(abstract), 'percent')) AND year >= 2000")
 def keyword_all(spark: SparkSession, d: str) -> DataFrame:
-    return S.keyword_search(articles(spark, d), ["Wage", "percent"], ("title", "abstract"), "all", F.col("year") >= 2000).select("handle", "title", "year")
+    return S.keyword_search(articles(spark, d, "title", "abstract", "year"), ["Wage", "percent"], ("title", "abstract"), "all", F.col("year") >= 2000).select("handle", "title", "year")
 
 
 @query(f"WITH {A}, {C} SELECT handle, year, coalesce(n, 0) AS citations FROM a LEFT JOIN (SELECT cited, count(*) AS n FROM c GROUP BY 1) x ON x.cited = handle WHERE contains(lower(title), 'lessons') ORDER BY citations DESC, year DESC NULLS LAST, handle LIMIT 20 OFFSET 10")
 def keyword_citations_order(spark: SparkSession, d: str) -> DataFrame:
     n = edges(spark, d).groupBy(F.col("cited").alias("handle")).agg(F.count("*").alias("citations"))
-    hit = S.keyword_search(articles(spark, d), ["lessons"]).select("handle", "year").join(n, "handle", "left").fillna(0, ["citations"])
+    hit = S.keyword_search(articles(spark, d, "title", "year"), ["lessons"]).select("handle", "year").join(n, "handle", "left").fillna(0, ["citations"])
     return S.page(hit, [F.desc("citations"), *S.by_year(hit)], 20, 10)
 
 
@@ -334,17 +342,18 @@ def _author(c: str) -> str:
 
 
 def _keyword(c: str) -> str:
-    weak = ", ".join(f"'{w}'" for w in T.WEAK_KEYWORDS)
+    # Words that make no good title keyword.
+    weak = ", ".join(f"'{w}'" for w in "their which these those about between through".split())
     return f"coalesce(list_filter(regexp_extract_all({c}, '[A-Za-z]{{5,}}'), lambda x: lower(x) NOT IN ({weak}))[1], nullif(regexp_extract({c}, '[A-Za-z0-9_]{{4,}}'), ''))"
 
 
-@query(f"""WITH {_REFS}, e AS (SELECT *, {_author("authors")} AS au, lower({_keyword("title")}) AS kw, array_to_string(string_split_regex(lower(trim(title)), '\\s+')[1:2], ' ') AS two FROM r), b AS (SELECT handle, lower(title) AS t, year, journal, {_author("authors")} AS au FROM a),
-  x AS (SELECT entry_id, 1 AS tier, b.handle, e_year, b.year, e_journal, b.journal FROM e JOIN b ON e.e_handle = b.handle UNION ALL SELECT entry_id, 2, b.handle, e_year, b.year, e_journal, b.journal FROM e JOIN b ON e.au = b.au AND e_year = b.year AND contains(b.t, kw)
-    UNION ALL SELECT entry_id, 3, b.handle, e_year, b.year, e_journal, b.journal FROM e JOIN b ON e.au = b.au AND b.year BETWEEN e_year - 1 AND e_year + 1 AND contains(b.t, two))
+@query(f"""WITH {_REFS}, e AS (SELECT *, nullif(lower(trim(string_split(authors, ';')[1])), '') AS au, lower({_keyword("title")}) AS kw, nullif(regexp_extract(lower(trim(title)), '^\\S+\\s+\\S+'), '') AS two FROM r), b AS (SELECT handle, lower(title) AS t, year, journal, lower(authors) AS au FROM a),
+  x AS (SELECT entry_id, 1 AS tier, b.handle, e_year, b.year, e_journal, b.journal FROM e JOIN b ON e.e_handle = b.handle UNION ALL SELECT entry_id, 2, b.handle, e_year, b.year, e_journal, b.journal FROM e JOIN b ON e_year = b.year AND contains(b.au, e.au) AND contains(b.t, kw)
+    UNION ALL SELECT entry_id, 3, b.handle, e_year, b.year, e_journal, b.journal FROM e JOIN b ON b.year BETWEEN e_year - 1 AND e_year + 1 AND contains(b.au, e.au) AND contains(b.t, two))
   SELECT entry_id, tier, handle, coalesce(abs(e_year - year) > 1, false) AS year_mismatch, coalesce(NOT contains(lower(e_journal), lower(journal)) AND NOT contains(lower(journal), lower(e_journal)), false) AS journal_mismatch
-  FROM x QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY tier, handle) = 1""")
+  FROM x QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY tier, year DESC NULLS LAST, handle) = 1""")
 def verify_refs(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d)
+    a = articles(spark, d, "title", "year", "authors", "journal")
     n = F.length("handle")
     entries = a.select(F.col("handle").alias("entry_id"), F.when(n % 3 == 0, F.col("handle")).alias("handle"), "title", (F.col("year") + F.when(n % 5 == 0, 1).otherwise(0)).alias("year"), "authors", "journal")
     return S.verify_references(entries, a)
@@ -352,22 +361,22 @@ def verify_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A} SELECT category, journal, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, journal ASC NULLS LAST) AS rank FROM a GROUP BY category, journal QUALIFY row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, journal ASC NULLS LAST) <= 8")
 def corpus_guide_top8(spark: SparkSession, d: str) -> DataFrame:
-    return P.top_per_key(articles(spark, d).groupBy("category", "journal").agg(F.count("*").alias("n")), "category", "journal", "n", 8)
+    return P.top_per_key(articles(spark, d, "category", "journal").groupBy("category", "journal").agg(F.count("*").alias("n")), "category", "journal", "n", 8)
 
 
 @query(f"WITH {A} SELECT journal, count(*) AS n FROM a GROUP BY 1")
 def stats_journals(spark: SparkSession, d: str) -> DataFrame:
-    return L.histogram(articles(spark, d), "journal")
+    return L.histogram(articles(spark, d, "journal"), "journal")
 
 
 @query(f"WITH {A} SELECT category, count(*) AS n FROM a GROUP BY 1")
 def stats_categories(spark: SparkSession, d: str) -> DataFrame:
-    return L.histogram(articles(spark, d), "category")
+    return L.histogram(articles(spark, d, "category"), "category")
 
 
 @query(f"WITH {A}, {C} SELECT count(*) AS papers, count(DISTINCT journal) AS journals, count(DISTINCT category) AS categories, (SELECT count(*) FROM c) AS citations, count(*) FILTER (doi IS NOT NULL) AS with_doi FROM a")
 def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
-    one = articles(spark, d).agg(F.count("*").alias("papers"), F.countDistinct("journal").alias("journals"), F.countDistinct("category").alias("categories"), F.count("doi").alias("with_doi"))
+    one = articles(spark, d, "journal", "category", "doi").agg(F.count("*").alias("papers"), F.countDistinct("journal").alias("journals"), F.countDistinct("category").alias("categories"), F.count("doi").alias("with_doi"))
     return one.join(F.broadcast(edges(spark, d).agg(F.count("*").alias("citations"))))
 
 
@@ -376,34 +385,34 @@ def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A} SELECT handle, {_doi('doi')} AS doi FROM a")
 def normalize_doi(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).select("handle", T.normalize_doi(F.col("doi")).alias("doi"))
+    return articles(spark, d, "doi").select("handle", T.normalize_doi(F.col("doi")).alias("doi"))
 
 
 @query(f"WITH {A} SELECT handle, {_doi('x')} AS doi FROM (SELECT handle, nullif(regexp_extract(doi, '10\\.\\d{{4,9}}/[^\\s?#&]+'), '') AS x FROM a) WHERE {_doi('x')} IS NOT NULL")
 def doi_from_url(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).select("handle", T.doi_from_url(F.col("doi")).alias("doi")).where("doi is not null")
+    return articles(spark, d, "url", "doi").select("handle", T.doi_from_url(F.col("doi")).alias("doi")).where("doi is not null")
 
 
 @query(f"WITH {A} SELECT handle, url FROM a WHERE contains(lower(url), 'papers.example') OR contains(lower(url), 'wp.example')")
 def host_filter(spark: SparkSession, d: str) -> DataFrame:
     hosts = ["papers.example", "wp.example"]
-    return articles(spark, d).where(F.coalesce(S.contains_ci(F.col("url"), hosts[0]) | S.contains_ci(F.col("url"), hosts[1]), F.lit(False))).select("handle", "url")
+    return articles(spark, d, "url").where(F.coalesce(S.contains_ci(F.col("url"), hosts[0]) | S.contains_ci(F.col("url"), hosts[1]), F.lit(False))).select("handle", "url")
 
 
 @query(f"WITH {A} SELECT journal, {_journal('journal')} AS name FROM a GROUP BY 1")
 def journal_names(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).select("journal").distinct().withColumn("name", T.journal_name(F.col("journal")))
+    return articles(spark, d, "journal").select("journal").distinct().withColumn("name", T.journal_name(F.col("journal")))
 
 
 @query(f"WITH {A} SELECT handle, array_to_string(list_sort({_content('title')}), ' ') AS content_key, {_keyword('title')} AS keyword, {_author('authors')} AS author, nullif(trim(string_split(authors, ';')[1]), '') AS lastname FROM a WHERE title IS NOT NULL")
 def title_keys(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).where("title is not null")
+    a = articles(spark, d, "title", "authors").where("title is not null")
     return a.select("handle", T.content_key(F.col("title")).alias("content_key"), T.title_keyword(F.col("title")).alias("keyword"), T.first_author_token(F.col("authors")).alias("author"), T.first_author_lastname(F.col("authors")).alias("lastname"))
 
 
 @query(f"WITH {A}, {V} SELECT source, target, round(CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS sim FROM (SELECT DISTINCT source, target, {_tokens('p.title')} AS x, {_tokens('q.title')} AS y FROM v JOIN a p ON p.handle = source JOIN a q ON q.handle = target)")
 def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).select("handle", "title")
+    a = articles(spark, d, "title").select("handle", "title")
     pairs = links(spark, d).select("source", "target").distinct().join(a.toDF("source", "t1"), "source").join(a.toDF("target", "t2"), "target")
     return pairs.select("source", "target", F.round(T.title_sim(F.col("t1"), F.col("t2")), 6).alias("sim"))
 
@@ -413,9 +422,9 @@ def country(spark: SparkSession, d: str) -> DataFrame:
     return people(spark, d).select("short_id", T.country(F.col("workplace_name")).alias("country"))
 
 
-@query(f"WITH {A} SELECT handle, substr(array_to_string(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ')[1:6], '-'), 1, 60) AS slug FROM a WHERE title IS NOT NULL")
+@query(f"WITH {A} SELECT handle, coalesce(nullif(substr(array_to_string(list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9\\s-]', '', 'g'), '\\s+'), lambda x: x <> '')[1:6], '-'), 1, 60), ''), 'search') AS slug FROM a WHERE title IS NOT NULL")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).where("title is not null").select("handle", T.slugify(F.col("title")).alias("slug"))
+    return articles(spark, d, "title").where("title is not null").select("handle", T.slugify(F.col("title")).alias("slug"))
 
 
 _TRUST = "t AS (SELECT source, prefix, n / sum(n) OVER (PARTITION BY source) AS share FROM (SELECT source, regexp_extract(doi, '^(10\\.\\d{4,9})/', 1) AS prefix, count(*) AS n FROM o WHERE doi IS NOT NULL AND source IS NOT NULL GROUP BY ALL) WHERE prefix <> ''), tr AS (SELECT * FROM t WHERE share >= 0.05)"
@@ -431,7 +440,7 @@ _SRC = f"src AS (SELECT source, count(*) AS works FROM o WHERE source IS NOT NUL
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     s = oa(spark, d).where("source is not null").groupBy("source").agg(F.count("*").alias("works"))
-    return M.resolve_sources(articles(spark, d).select("journal").where("journal is not null").distinct(), s)
+    return M.resolve_sources(articles(spark, d, "journal").select("journal").where("journal is not null").distinct(), s)
 
 
 @query(f"WITH {A}, {OA}, {_SRC} SELECT journal, source, works FROM rs")
@@ -443,7 +452,7 @@ _PAPERS = f"pa AS (SELECT handle, rs.source, a.title, a.year, list_sort({_conten
 
 
 def _match(spark: SparkSession, d: str, fuzzy: float | None) -> DataFrame:
-    a = articles(spark, d)
+    a = articles(spark, d, "title", "year", "journal")
     papers = a.join(_sources(spark, d).where("source is not null").select("journal", "source"), "journal").select("handle", "source", "title", "year")
     o = oa(spark, d)
     w = o.where("doi is not null").select("doi", "source", "title", "year")
@@ -468,28 +477,28 @@ _FRESH = "fr AS (SELECT * FROM o WHERE doi IS NOT NULL QUALIFY row_number() OVER
 @query(f"WITH {A}, {OA}, {_FRESH} SELECT a.handle, fr.work_id, fr.doi, fr.type, fr.updated_date::VARCHAR AS updated FROM a JOIN fr ON {_doi('a.doi')} = fr.doi")
 def openalex_freshest(spark: SparkSession, d: str) -> DataFrame:
     best = M.freshest(oa(spark, d), "doi", F.desc("updated_date"), F.col("work_id"))
-    a = articles(spark, d).select("handle", T.normalize_doi(F.col("doi")).alias("doi"))
+    a = articles(spark, d, "doi").select("handle", T.normalize_doi(F.col("doi")).alias("doi"))
     return M.enrich(a, best.select("doi", "work_id", "type", F.col("updated_date").cast("string").alias("updated"))).select("handle", "work_id", "doi", "type", "updated")
 
 
 @query(f"WITH {A} SELECT journal, count(*) AS n FROM a WHERE doi IS NULL AND title IS NOT NULL AND year IS NOT NULL AND journal IS NOT NULL AND NOT is_series GROUP BY 1 HAVING count(*) >= 2")
 def doiless_journals(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).where("doi is null and title is not null and year is not null and journal is not null and not is_series")
+    a = articles(spark, d, "doi", "title", "year", "journal", "is_series").where("doi is null and title is not null and year is not null and journal is not null and not is_series")
     return L.histogram(a, "journal").where("n >= 2")
 
 
 @query(f"WITH {A} SELECT a.handle, a.year, coalesce(j.long_name, a.journal) AS journal, j.category FROM a LEFT JOIN journals j ON j.archive = a.archive AND j.journal_code = a.journal_code WHERE ((a.year >= 1995 AND NOT is_series) OR (a.year >= 2010 AND is_series)) AND length(abstract) > 100")
 def load_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).drop("category").where("((year >= 1995 and not is_series) or (year >= 2010 and is_series)) and length(abstract) > 100")
+    a = articles(spark, d, "year", "is_series", "abstract", "archive", "journal_code", "journal").where("((year >= 1995 and not is_series) or (year >= 2010 and is_series)) and length(abstract) > 100")
     j = table(spark, d, "journals").select("archive", "journal_code", "long_name", "category")
-    return a.join(F.broadcast(j), ["archive", "journal_code"], "left").select("handle", "year", F.coalesce("long_name", "journal").alias("journal"), "category")
+    return a.join(small(j), ["archive", "journal_code"], "left").select("handle", "year", F.coalesce("long_name", "journal").alias("journal"), "category")
 
 
 # ---------------------------------------------------------------- snapshots
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).select("handle", "title", "year", "doi")
+    return articles(spark, d, "title", "year", "doi").select("handle", "title", "year", "doi")
 
 
 def _update(spark: SparkSession, d: str) -> DataFrame:
@@ -530,9 +539,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
-@query(f"SELECT count(*) AS total, count(DISTINCT user_id) AS users, round(avg(value), 6) AS avg_value, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 50) AS large FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{AS_OF}'")
+@query(f"SELECT count(*) AS total, round(avg(value), 6) AS avg_value, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (value > 50) AS large FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{AS_OF}'")
 def log_stats(spark: SparkSession, d: str) -> DataFrame:
-    return L.log_stats(L.since(_events(spark, d), F.lit(AS_OF).cast("timestamp_ntz"), 7)).withColumn("avg_value", F.round("avg_value", 6))
+    e = L.since(_events(spark, d), F.lit(AS_OF).cast("timestamp_ntz"), 7)
+    counters = {"purchases": F.col("event_type") == "purchase", "errors": F.col("event_type") == "error", "clicks": F.col("event_type") == "click", "views": F.col("event_type") == "view", "large": F.col("value") > 50}
+    return L.log_stats(e, {"avg_value": "value"}, counters).withColumn("avg_value", F.round("avg_value", 6))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -584,11 +595,6 @@ def replay_from_seq(spark: SparkSession, d: str) -> DataFrame:
     return E.replay(_runs(spark, d), 20).select("run_id", "seq", "type")
 
 
-@query(f"WITH {_EV} SELECT run_id, count(*) FILTER (type = 'purchase') AS n, count(*) FILTER (type = 'purchase') = 0 AS empty, count(*) FILTER (type = 'purchase') < 5 AS thin, bool_or(type = 'error') AS failed FROM ev GROUP BY 1")
-def run_flags(spark: SparkSession, d: str) -> DataFrame:
-    return E.run_flags(_runs(spark, d))
-
-
 @query(f"WITH {_EV}, s AS (SELECT *, sum(length(payload)) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS x FROM ev) SELECT run_id, seq FROM s WHERE x <= 500")
 def size_cap(spark: SparkSession, d: str) -> DataFrame:
     return E.capped(_runs(spark, d).withColumn("size", F.length("payload")), "size", 500).select("run_id", "seq")
@@ -610,7 +616,7 @@ def jel_closure(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH k AS (SELECT DISTINCT lower(trim(Handle)) AS handle, upper(left(journal_code, 1)) || (year % 100) AS code FROM articles WHERE journal_code IS NOT NULL AND year IS NOT NULL) SELECT DISTINCT handle FROM k WHERE starts_with(code, 'J1') OR starts_with(code, 'B2')")
 def jel_semi(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d)
+    a = articles(spark, d, "journal_code", "year")
     codes = a.where("journal_code is not null and year is not null").select("handle", F.concat(F.upper(F.substring("journal_code", 1, 1)), (F.col("year") % 100).cast("string")).alias("code"))
     return X.with_codes(a, codes, ["j1", " B2 ", "bad!"]).select("handle").distinct()
 
@@ -632,11 +638,11 @@ def iscited_explode(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {A} SELECT handle, list_filter(list_transform(string_split_regex(authors, '\\s+and\\s+|,\\s*'), lambda x: trim(x)), lambda x: x <> '')[1] AS first_part, len(list_filter(list_transform(string_split_regex(authors, '\\s+and\\s+|,\\s*'), lambda x: trim(x)), lambda x: x <> '')) AS parts FROM a WHERE authors IS NOT NULL")
 def author_list_split(spark: SparkSession, d: str) -> DataFrame:
     parts = T.split_author_list(F.col("authors"))
-    return articles(spark, d).where("authors is not null").select("handle", F.get(parts, F.lit(0)).alias("first_part"), F.size(parts).alias("parts"))
+    return articles(spark, d, "authors").where("authors is not null").select("handle", F.get(parts, F.lit(0)).alias("first_part"), F.size(parts).alias("parts"))
 
 
 @query(f"WITH {A} SELECT archive, journal_code, count(*) AS n, row_number() OVER (PARTITION BY archive ORDER BY count(*) DESC, journal_code) AS rank, round(count(*) / sum(count(*)) OVER (PARTITION BY archive), 6) AS share FROM a GROUP BY archive, journal_code")
 def archive_shares(spark: SparkSession, d: str) -> DataFrame:
-    n = articles(spark, d).groupBy("archive", "journal_code").agg(F.count("*").alias("n"))
+    n = articles(spark, d, "archive", "journal_code").groupBy("archive", "journal_code").agg(F.count("*").alias("n"))
     w = Window.partitionBy("archive")
     return n.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), F.col("journal_code").asc_nulls_last()))).withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6))

@@ -8,6 +8,9 @@ on executor-local blocks.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,16 +40,35 @@ def build_session(cpus: int | str = "*", app: str = "biblyst", shuffle_partition
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is set (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """Folder of this application's tables in the shared folder of the cluster.
+
+    Where spark.checkpoint.dir is unset a local session gets a private folder,
+    removed when Python ends; on a cluster that is an error, since executors do
+    not share the driver's disk.
+    """
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir", None)
     if where:
-        return where.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
+        return f"{where.rstrip('/')}/biblyst-{sc.applicationId}"
+    jsc = sc._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="biblyst-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="biblyst-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove the tables that ``materialize`` has written so far; call it when no result that reads them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        for x in fs.listStatus(path):
+            fs.delete(x.getPath(), True)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table."""
     spark = df.sparkSession

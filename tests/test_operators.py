@@ -143,7 +143,7 @@ def test_reference_files(spark, tmp_path):
     r = spark.createDataFrame([('{"s": {"isversionof": {"t": "1", "u": "1"}}}',)], "value string")
     assert rows(reference_files.related_works(r)) == [("s", "t", "isversionof"), ("s", "u", "isversionof")]
     (tmp_path / "j.xml").write_text("<d><classification><code>J</code><description>Labour</description><classification><code>J3</code><description>Wages</description></classification></classification></d>")
-    assert rows(reference_files.jel_tree(spark, str(tmp_path / "j.xml"))) == [("J", "Labour", 1, None), ("J3", "Wages", 2, "J")]
+    assert rows(reference_files.jel_tree(spark, str(tmp_path / "j.xml"), 2)) == [("J", "Labour", 1, None), ("J3", "Wages", 2, "J")]
 
 
 def test_citation_lines_batch_and_stream(spark, tmp_path):
