@@ -14,8 +14,11 @@ sum, so no source is ever sorted or summed in one task.
 
 from __future__ import annotations
 
+import base64
+import importlib.util
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,19 +35,18 @@ MAX_SOURCES = 10_000
 def count_tokens(df: DataFrame, text: str, out: str = "tokens", folder: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
     """``df`` without ``text``, with the number of tokens of the text; NULL and empty texts have 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import base64
-        import importlib.util
-        from pathlib import Path
+    # read once, here: the workers need no folder of their own
+    spec = importlib.util.spec_from_file_location("tokenizer_files", f"{folder}/__init__.py")
+    files = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(files)
+    sent = df.sparkSession.sparkContext.broadcast((files.PATTERN, (Path(folder) / name).read_bytes()))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("tokenizer_files", f"{folder}/__init__.py")
-        files = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(files)
-        lines = (Path(folder) / name).read_bytes().splitlines()
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-        enc = tiktoken.Encoding("public", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pattern, vocabulary = sent.value
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
+        enc = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             # a very long text is counted in pieces cut at line ends or blanks, so memory stays bounded
             n = [sum(len(enc.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in pdf[text]]
@@ -125,16 +127,48 @@ def _name(c: str) -> F.Column:
     return F.lower(F.trim(F.col(c)))
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def entropy_weights(sizes: list[float], target_entropy: float, limits: list[float], total: float) -> tuple[list[float], float]:
+    """(weights, exponent): q ** exponent, normalised, for natural shares q, with the entropy asked for as far as the limits allow.
+
+    An exponent below 1 flattens the mix. If a source would be used more than its
+    limit allows, the exponent is bisected towards 1, the natural shares, until
+    it isn't; if even those break a limit, the source is capped and the rest shared out.
+    """
+    size = sum(sizes)
+    shares = [x / size if size else 0.0 for x in sizes]
+    w, a = temperature_weights(shares, target_entropy)
+    fits = lambda w: all(x * total <= m * n * (1 + 1e-12) + 1e-9 for x, m, n in zip(w, limits, sizes))
+    if fits(w):
+        return w, a
+    return tilted_weights(sizes, w, limits, total)[0], _between(shares, a, fits)
+
+
+def _between(shares: list[float], a: float, fits: Callable[[list[float]], bool]) -> float:
+    """The exponent nearest to ``a`` between it and 1 at which the limits hold; 1 if there is none."""
+
+    def mix(x: float) -> list[float]:
+        w = [s**x if s > 0 else 0.0 for s in shares]
+        return [v / sum(w) for v in w] if sum(w) else w
+
+    lo, hi = 0.0, 1.0  # part of the way from 1 to a
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if fits(mix(1 + mid * (a - 1))) else (lo, mid)
+    return 1 + lo * (a - 1)
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame, total: int | float | None = None, target_entropy: float | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """(plan, report) of a mix of ``total`` tokens.
 
     ``targets``: (source, target_share, max_repeats). Sources are compared
     without case and surrounding blanks; documents of no listed source are not
     used and come out in the report's last row (source NULL). Without ``total``
     the largest total is taken at which every source meets its target within
-    its limit. plan: (doc_id, source, tokens, repeats), used documents only;
+    its limit; a float is a part of the tokens of the listed sources. With
+    ``target_entropy`` (nats) the mix follows the natural shares at that entropy
+    instead of the targets. plan: (doc_id, source, tokens, repeats), used documents only;
     report: (source, target_share, max_repeats, docs, tokens, budget_tokens,
-    used_tokens, actual_share, most_repeats). A listed source without tokens
+    used_tokens, actual_share, most_repeats, exponent). A listed source without tokens
     or repeats has an actual share of 0 and its weight goes to the others. Targets are
     normalised to sum 1; NULL or negative ones read as 0.
     """
@@ -152,7 +186,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, d
     t = [x / sum(t) for x in t] if sum(t) else t
     if total is None:
         total = int(min([k * x / s for k, x, s in zip(m, n, t) if s > 0], default=0))
-    w, _ = tilted_weights(n, t, m, total) if sum(t) and total else ([0.0] * len(n), 1.0)
+    elif isinstance(total, float):
+        total = int(total * sum(n))
+    if not sum(t) or not total:
+        w, exponent = [0.0] * len(n), 1.0
+    elif target_entropy is not None:
+        w, exponent = entropy_weights([x if y > 0 else 0.0 for x, y in zip(n, t)], target_entropy, m, total)
+    else:
+        w, exponent = tilted_weights(n, t, m, total)
     budget = [int(round(x * total)) for x in w]
     goals = spark.createDataFrame(
         [(r["source"], float(r["t"]), int(r["m"]), int(b), int(b // x) if x else 0, int(b - (b // x) * x) if x else 0) for r, b, x in zip(joined, budget, n)],
@@ -177,4 +218,4 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: int | None = None, d
     report = known.unionByName(other, allowMissingColumns=True).fillna(0, ["docs", "tokens", "budget_tokens", "used_tokens", "most_repeats"])
     whole = used.agg(F.sum("used_tokens").alias("_all"))
     report = report.join(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.col("_all"), F.lit(0.0)))
-    return plan, report.select("source", "target_share", "max_repeats", "docs", "tokens", "budget_tokens", "used_tokens", "actual_share", "most_repeats")
+    return plan, report.select("source", "target_share", "max_repeats", "docs", "tokens", "budget_tokens", "used_tokens", "actual_share", "most_repeats", F.lit(float(exponent)).alias("exponent"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblyst.llm.components import connected_components
-from biblyst.llm.leaks import leaks
+from biblyst.llm.leaks import leaks, similar_passages
 from biblyst.llm.matching import match_records
 from biblyst.llm.mixing import mix_sources
 from biblyst.llm.names import link_names
@@ -66,6 +66,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold whole items with edits: windows of the items' sizes, five-word shingles, similarity 0.8."""
+    return similar_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -74,11 +79,21 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as the corpus: scarce sources reach their limits, so the exponent is bisected below 1."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total=1.0)[1]
+
+
+def p9_entropy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the corpus at an entropy of 2 nats instead of the targets."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total=0.5, target_entropy=2.0)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p9_plan": p9_plan, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_similar": p8_similar, "p9_plan": p9_plan, "p9_report": p9_report, "p9_whole_report": p9_whole_report, "p9_entropy_report": p9_entropy_report, "p10_found": p10_found}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (

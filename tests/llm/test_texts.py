@@ -9,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from biblyst.llm.leaks import HammingIndex, hashed_letters, leaks, simhash
-from biblyst.llm.mixing import entropy, mix_sources, pieces, temperature_weights, tilted_weights
+from biblyst.llm.leaks import HammingIndex, SizedIndex, hashed_letters, leaks, similar_passages, simhash
+from biblyst.llm.mixing import entropy, entropy_weights, mix_sources, pieces, temperature_weights, tilted_weights
 from biblyst.llm.sentences import emitted, lex, scan, sentences, split_text, transitions
 
 U = np.uint64
@@ -62,6 +62,66 @@ def test_leaks(spark):
     assert hashed_letters([None, "a1，b"])[1].tolist() == [0, 0, 3]
 
 
+def test_similar_passages(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(2000)}"
+    items = [[word() for _ in range(n)] for n in (15, 40, 90)]
+    edited = list(items[2])
+    edited[20] = "other"
+    twice = [*edited[:70], "another", *edited[71:]]  # 76 of 96 runs of five words in common: below 0.8
+    half = items[1][:20] + [word() for _ in range(20)]
+    docs = [(1, " ".join([word() for _ in range(30)] + edited + [word() for _ in range(9)])), (2, " ".join(items[0]).upper()), (3, " ".join(half)), (4, None), (5, ""), (6, " ".join(items[1][:39])), (7, " ".join(twice))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("similarity", F.lit("clash"))
+    i = spark.createDataFrame([(k, "en", " ".join(x)) for k, x in enumerate(items)] + [(8, "en", "too short"), (9, None, None)], "item_id long, lang string, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in similar_passages(d, i).collect()}
+    assert set(got) == {(1, 2), (2, 0)} and got[2, 0] == 1 > got[1, 2] >= 0.8
+    assert similar_passages(d.limit(0), i).count() == 0 == similar_passages(d, i.limit(0)).count()
+
+
+def test_recall_of_edited_items_is_at_least_nine_tenths():
+    rng = random.Random(2)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 80))] for _ in range(40)]
+    ix = SizedIndex(list(range(40)), [" ".join(x) for x in items], 5, False, 10)
+    docs, true = [], set()
+    for k in range(200):
+        w = list(items[k % 40])
+        at = rng.randrange(len(w))
+        w[at : at + 1] = rng.choice([["edit"], ["edit", "more"], []])
+        docs.append(" ".join(f"x{rng.randrange(900)}" for _ in range(25)) + " " + " ".join(w) + " tail" * 9)
+        a, b = ix.shingles(ix.items[k % 40][1]), None
+        units = hashed(w)
+        b = ix.shingles(units)
+        if sum(v for x, v in a.items() if x in b) >= 0.85 * sum({**a, **b}.values()):
+            true.add((k, k % 40))
+    d, i, _ = ix.find(docs, 0.8)
+    assert len(true) > 50 and len(true & set(zip(d.tolist(), i.tolist()))) >= 0.9 * len(true)
+
+
+def hashed(words):
+    from biblyst.llm.text import hashed_words
+
+    return hashed_words([" ".join(words)])[0]
+
+
+def test_running_sums_equal_separate_ones():
+    g = np.random.default_rng(1)
+    ix = SizedIndex([1], [" ".join(f"w{k}" for k in range(30))], 5, False, 3)
+    u = g.integers(0, 1 << 63, 70_000, dtype=np.uint64)
+    every = ix.prints(u, [13, 30])
+    assert len(every[13]) == 70_000 - 12
+    for n in (13, 30):
+        for at in (0, 65_530, 65_536, 70_000 - n):
+            assert ix.prints(u[at : at + n], [n])[n][0] == every[n][at]
+
+
+def test_entropy_of_a_mix_meets_its_limits():
+    w, a = entropy_weights([800, 150, 50], 1.0, [9, 9, 9], 500)
+    assert abs(entropy(w) - 1.0) < 1e-6 and a < 1
+    # the smallest source may not be repeated: the exponent moves back towards the natural shares
+    v, b = entropy_weights([800, 150, 50], 1.0, [9, 9, 1], 900)
+    assert a < b < 1 and v[2] * 900 <= 50 * (1 + 1e-6) and abs(sum(v) - 1) < 1e-9
+
+
 def test_weights():
     w, a = temperature_weights([0.7, 0.2, 0.1], 1.0)
     assert abs(entropy(w) - 1.0) < 1e-6 and 0 < a < 1
