@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from biblyst.llm.leaks import HammingIndex, SizedIndex, hashed_letters, leaks, similar_passages, simhash
 from biblyst.llm.mixing import entropy, entropy_weights, mix_sources, pieces, temperature_weights, tilted_weights
-from biblyst.llm.sentences import emitted, lex, scan, sentences, split_text, transitions
+from biblyst.llm.sentences import closing, emitted, events, lex, scan, scan_back, sentences, split_text, transitions
 
 U = np.uint64
 
@@ -182,11 +182,44 @@ def test_scan_equals_one_piece():
     pos, sym = lex(text)
     whole = emitted(pos, sym, 0)
     cuts = list(range(0, len(text), 97))
-    parts = [lex(text, a, min(a + 97, len(text))) for a in cuts]
+    # the closing marks still to come are what the backward scan hands to each chunk
+    later = scan_back([closing(events(text, a, min(a + 97, len(text)))) for a in cuts])
+    parts = [lex(text, a, min(a + 97, len(text)), m) for a, m in zip(cuts, later)]
     starts = scan(np.array([transitions(s) for _, s in parts]))
     assert [p for (ps, ss), s in zip(parts, starts) for p in emitted(ps, ss, int(s))] == whole
 
 
+@pytest.mark.parametrize(("a", "b"), [("“", "”"), ("«", "»"), ("„", "“"), ('"', '"'), ("(", ")"), ("「", "」")])
+def test_quotations_of_any_length(a, b):
+    said = " ".join(f"Sentence number {k} is said here." for k in range(60))
+    text = f"He wrote {a}{said}{b} and left. Then came the rest."
+    assert len(said) > 1500
+    for chunk in (64, 512, 1 << 20):
+        assert [text[x:y][-10:] for x, y in split_text(text, chunk)] == [" and left.", " the rest."]
+    # without the closing mark, or with it behind an empty line, it opens nothing
+    for broken in (f"He wrote {a}{said}", f"He wrote {a}{said}\n\nMore.{b}"):
+        assert len(split_text(broken, 64)) >= 60
+
+
+def test_a_closing_mark_alone_closes_nothing():
+    assert len(split_text('He is 6\'2" tall. She is not. They left.')) == 3
+
+
+def test_every_chunk_size_gives_the_same_sentences():
+    text = "\n\n".join(t.strip() for t, _ in GOLD if t.strip()) * 3
+    assert all(split_text(text, n) == split_text(text, 1 << 20) for n in (40, 97, 512))
+
+
+def test_backward_functions_compose():
+    rng = random.Random(1)
+    f = [(rng.random() < 0.7, rng.randrange(16)) for _ in range(50)]
+    later, want = 0, []
+    for keep, add in reversed(f):
+        want.append(later)
+        later = add | (later if keep else 0)
+    assert scan_back(f) == want[::-1]
+
+
 def test_chunked_documents(spark):
     text = "\n\n".join(t.strip() for t, _ in GOLD if t.strip()) * 6
     df = spark.createDataFrame([(1, text), (2, None), (3, "One. Two."), (4, "")], "doc_id long, text string").withColumn("sent_no", F.lit(0))
