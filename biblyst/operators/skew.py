@@ -10,14 +10,16 @@ HOT_SHARE = 200
 SALT = 32
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str = "_n", salt: int = SALT) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str = "_n", salt: int = SALT, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` to ``lookup``, which is unique by ``keys``.
 
     ``lookup[n]`` holds how many rows of ``rows`` carry the key; it is dropped.
     Rows of hot keys are spread over ``salt`` copies of their lookup row. Give
     a materialized ``lookup``: it is read three times, once at the call. NULL keys match nothing.
+    ``total``, a number that the sum of ``n`` does not exceed, saves the read at the call.
     """
-    total = lookup.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if total is None:
+        total = lookup.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot = lookup.where(F.col(n) * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)  # at most HOT_SHARE rows by construction
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))
