@@ -5,7 +5,8 @@ neighbour of a node to the smallest node the node knows; a small star moves
 the smaller neighbours of a node, and the node, to the smallest of them. Both
 are a minimum per node (map-side combined) joined back to the edges; hub nodes
 are salted by ``salted_lookup``. Rounds end when a round changes no edge; each
-round's edges are written to the shared folder, so lineage stays short.
+round is one query whose edges are written to the shared folder, so lineage
+stays short, and one that counts and hashes them.
 """
 
 from __future__ import annotations
@@ -24,16 +25,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, total: int) -> DataFrame:
     # n counts the edges in which the node is the smaller end: those are joined back
     near = e.select(F.col("lo").alias("u"), F.col("lo").alias("m"), F.lit(1).alias("_n")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("m"), F.lit(0).alias("_n")))
-    least = materialize(near.groupBy("u").agg(F.min("m").alias("m"), F.sum("_n").alias("_n")).where("_n > 0").withColumnRenamed("u", "lo"), "star")
-    return salted_lookup(e, least, ["lo"]).select("hi", F.col("m").alias("lo")).distinct()
+    least = near.groupBy("u").agg(F.min("m").alias("m"), F.sum("_n").alias("_n")).where("_n > 0").withColumnRenamed("u", "lo")
+    return salted_lookup(e, least, ["lo"], total=total).select("hi", F.col("m").alias("lo")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = materialize(e.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("_n")), "star")
-    moved = salted_lookup(e, least, ["hi"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+def _small_star(e: DataFrame, total: int) -> DataFrame:
+    least = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("_n"))
+    moved = salted_lookup(e, least, ["hi"], total=total).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -51,7 +52,8 @@ def connected_components(edges: DataFrame, a: str, b: str, node: str = "node", g
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        e = materialize(_small_star(materialize(_large_star(e), "edges")), "edges")
+        # one written table a round; a large star never adds edges, so the count bounds both stars
+        e = materialize(_small_star(_large_star(e, before[0]), before[0]), "edges")
         now = _state(e)
         if now == before:
             break
