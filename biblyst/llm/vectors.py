@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from biblyst.operators.skew import salted_lookup
 from biblyst.session import materialize
 
-#: Rows on which the codebooks are fitted. All rows are indexed.
+#: Rows on which the codebooks are fitted, at least (16 a code where that is more). All rows are indexed.
 SAMPLE = 20_000
 #: Vectors visited by a query before it stops (more: higher recall, more work).
 ENTRIES = 512
-#: Average vectors per cell that sets the codebook size; size of the largest codebook.
-PER_CELL, MAX_CODES = 16, 512
-BLOCKS, BLOCK_ROWS = 8, 500_000
+#: Average vectors per cell that sets the codebook size; size of the largest codebook, whose
+#: cells' sizes still fit a broadcast (MAX_CODES ** 2 numbers). Beyond it cells grow fuller, and a
+#: query visits CELLS average cells instead of ENTRIES vectors, so recall doesn't fall with the size.
+PER_CELL, MAX_CODES, CELLS = 16, 2048, 32
+BLOCKS, BLOCK_ROWS = 8, 40_000
 QUERY_CHUNK = 40_000
 
 
@@ -67,13 +69,18 @@ def heap_order(d1: np.ndarray, d2: np.ndarray) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (d1[o1[n[0]]] + d2[o2[n[1]]], *n))
 
 
+def codes(rows: int) -> int:
+    """Size of each codebook for so many vectors."""
+    return int(np.clip(2 ** round(np.log2(max(rows / PER_CELL, 1)) / 2), 1, MAX_CODES))
+
+
 class MultiIndex:
     """Codebooks, cell sizes and the blocks of cells."""
 
     def __init__(self, sample: np.ndarray, rows: int, entries: int) -> None:
         h = sample.shape[1] // 2
-        k = int(np.clip(2 ** round(np.log2(max(rows / PER_CELL, 1)) / 2), 1, MAX_CODES))
-        self.half, self.entries = h, entries
+        k = codes(rows)
+        self.half, self.entries = h, max(entries, -(-CELLS * rows // k**2))
         self.c1, self.c2 = kmeans(sample[:, :h], k), kmeans(sample[:, h:], k)
         self.k2 = len(self.c2)
         blocks = kmeans(sample, max(BLOCKS, -(-rows // BLOCK_ROWS)), seed=9)
@@ -291,7 +298,8 @@ def nearest(df: DataFrame, id_col: str, vec: str, dim: int, k: int, entries: int
     ranked = members.groupBy("rid", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
     copies = materialize(ranked.groupBy("rid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "copies")
     if rows:
-        some = uniq.where(F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, 1.2 * SAMPLE / rows) * (1 << 30))).select("vec").limit(SAMPLE)
+        drawn = max(SAMPLE, 16 * codes(rows))
+        some = uniq.where(F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, 1.2 * drawn / rows) * (1 << 30))).select("vec").limit(drawn)
         sample = np.stack([np.frombuffer(r[0], np.float32) for r in some.collect()] or [np.ones(dim, np.float32)])
         index = MultiIndex(sample, rows, entries)
         bare = spark.sparkContext.broadcast(index)
@@ -302,8 +310,8 @@ def nearest(df: DataFrame, id_col: str, vec: str, dim: int, k: int, entries: int
                     c, n = np.unique(bare.value.cells(_matrix(b.column(0), dim)), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
-        for r in uniq.select("vec").mapInArrow(assign, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most MAX_CODES ** 2 rows
-            index.sizes[r["cell"]] = r["n"]
+        filled = uniq.select("vec").mapInArrow(assign, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most MAX_CODES ** 2 rows
+        index.sizes[filled["cell"].to_numpy(np.int64)] = filled["n"].to_numpy(np.int64)
         size = np.bincount(index.block, weights=index.sizes)
         share = max(1.5 * rows / len(size), 10_000)
         splits = np.maximum(1, np.ceil(size / share)).astype(int)
