@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblyst.operators.skew import salted_lookup
-from biblyst.session import materialize
+from biblyst.session import materialize, small
 
 COSINE, TOP = 0.42, 10
 LINKAGE = 0.7
+#: Left strings of one gram that one task holds against its right ones.
+POSTINGS = 5000
 #: A given name in more than 2/COMMON of all values is no slip of another one.
 COMMON = 2000
 #: Part of the occurrences of all compatible groups that the best group must hold for mere initials.
@@ -204,6 +206,12 @@ def similar_strings(left: DataFrame, right: DataFrame, threshold: float = COSINE
     )["k"]
     post = vec.select("s", "side", "v", F.explode(F.slice("v", F.lit(1), upto)).alias("p")).select(F.col("p.g").alias("g"), "side", "s", F.transform("v", lambda x: x["g"]).alias("gs"), F.transform("v", lambda x: x["w"]).alias("ws"))
 
+    # the left strings of a frequent gram are split, and each part meets copies of the right ones
+    size = small(materialize(post.where("side = 0").groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") > POSTINGS), "hot-grams"))
+    parts = (1 + F.coalesce("_n", F.lit(0)) / POSTINGS).cast("int")
+    part = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("s"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+    post = post.join(size, "g", "left").withColumn("part", F.explode(part)).select("g", "part", "side", "s", "gs", "ws")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, a, b = None, [], []
 
@@ -222,26 +230,26 @@ def similar_strings(left: DataFrame, right: DataFrame, threshold: float = COSINE
                             if k not in dot:
                                 first[k] = g
                             dot[k] = dot.get(k, 0.0) + w * x
-                    for k, d in dot.items():
-                        # a pair comes out where its first common gram is
-                        if d >= threshold and first[k] == gram:
-                            out[0].append(s)
-                            out[1].append(b[k][0])
-                            out[2].append(d)
+                    # a pair comes out where its first common gram is; no more than the best of them can count in the end
+                    hits = [(d, b[k][0]) for k, d in dot.items() if d >= threshold and first[k] == gram[0]]
+                    for d, x in sorted(hits, reverse=True)[:top] if len(hits) > top else hits:
+                        out[0].append(s)
+                        out[1].append(x)
+                        out[2].append(d)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["a", "b", "sim"])
 
         for batch in batches:
-            for g, side, s, gs, ws in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if g != gram:
+            for g, part, side, s, gs, ws in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (g, part) != gram:
                     if a and b:
                         yield pairs()
-                    gram, a, b = g, [], []
+                    gram, a, b = (g, part), [], []
                 (b if side else a).append((s, gs, ws, None))
         if a and b:
             yield pairs()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = post.repartition(parts, "g").sortWithinPartitions("g", "side").mapInArrow(run, "a string, b string, sim double")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = post.repartition(tasks, "g", "part").sortWithinPartitions("g", "part", "side").mapInArrow(run, "a string, b string, sim double")
     ranked = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "b")), False), 1, top).alias("t"))
     return ranked.select("a", F.explode("t").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.sim").alias("sim"))
 
@@ -274,6 +282,45 @@ def _read_persons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["sid", "surname", "given", "middle"])
 
 
+@lru_cache(50_000)
+def deletions(x: str) -> frozenset[str]:
+    """``x`` without any none, one or two of its letters: strings within two edits share one."""
+    out = {x}
+    for _ in range(2):
+        out |= {y[:i] + y[i + 1 :] for y in out for i in range(len(y))}
+    return frozenset(out)
+
+
+def components_of_givens(givens: list[str]) -> list[list[int]]:
+    """Rows whose given names are linked by similarity above 0, directly or over others; no pair without a key in common is compared."""
+    rows: dict[str, list[int]] = {}
+    for k, g in enumerate(givens):
+        rows.setdefault(g, []).append(k)
+    names = sorted(rows)
+    up = {g: g for g in names}
+
+    def root(g: str) -> str:
+        while up[g] != g:
+            up[g] = g = up[up[g]]
+        return g
+
+    held: dict[str, list[str]] = {}
+    for g in names:
+        seen = set()
+        for x in SEVERAL.get(g, (SHORT.get(g, g),)):
+            for key in deletions(x):
+                for other in held.get(key, ()):
+                    if other not in seen:
+                        seen.add(other)
+                        if root(g) != root(other) and given_similarity(g, other):
+                            up[root(g)] = root(other)
+                held.setdefault(key, []).append(g)
+    out: dict[str, list[int]] = {}
+    for g in names:
+        out.setdefault(root(g), []).extend(rows[g])
+    return [sorted(x) for x in out.values()]
+
+
 def link_block(persons: list[tuple[str, str, str]], forms: list[tuple[str, str, str, int]], common: frozenset[str] = frozenset()) -> list[tuple[str, str, str, str, int]]:
     """Links within one surname: (surname, given, middle, sid, sure) from persons (sid, given, middle) and forms (surname, given, middle, n)."""
     out = []
@@ -285,12 +332,15 @@ def link_block(persons: list[tuple[str, str, str]], forms: list[tuple[str, str,
         count[g, m] += 1
     at = {f: k for k, f in enumerate(full)}
     label = np.arange(len(full))
-    if len(full) > 1:
-        sim = np.zeros((len(full), len(full)))
-        for i, a in enumerate(full):
-            for j in range(i):
-                sim[i, j] = sim[j, i] = form_similarity(a, full[j], common)
-        label = average_linkage(sim, LINKAGE, np.array([count[f] for f in full]))
+    # groups only grow between forms of similar given names: each such component is clustered on its own
+    for part in components_of_givens([g for g, _ in full]):
+        if len(part) > 1:
+            sim = np.zeros((len(part), len(part)))
+            for i, a in enumerate(part):
+                for j, b in enumerate(part[:i]):
+                    sim[i, j] = sim[j, i] = form_similarity(full[a], full[b], common)
+            idx = np.array(part)
+            label[idx] = idx[average_linkage(sim, LINKAGE, np.array([count[full[k]] for k in part]))]
     group: dict[tuple[str, str], tuple] = {f: (int(label[k]),) for f, k in at.items()}
     letters: dict[tuple, set[str]] = {}
     middles: dict[tuple, set[str]] = {}
