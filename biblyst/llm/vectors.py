@@ -80,7 +80,7 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, rows: int, entries: int) -> None:
         h = sample.shape[1] // 2
         k = codes(rows)
-        self.half, self.entries = h, max(entries, -(-CELLS * rows // k**2))
+        self.half, self.entries = h, entries if k < MAX_CODES else max(entries, -(-CELLS * rows // k**2))
         self.c1, self.c2 = kmeans(sample[:, :h], k), kmeans(sample[:, h:], k)
         self.k2 = len(self.c2)
         blocks = kmeans(sample, max(BLOCKS, -(-rows // BLOCK_ROWS)), seed=9)
