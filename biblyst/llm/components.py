@@ -5,8 +5,8 @@ neighbour of a node to the smallest node the node knows; a small star moves
 the smaller neighbours of a node, and the node, to the smallest of them. Both
 are a minimum per node (map-side combined) joined back to the edges; hub nodes
 are salted by ``salted_lookup``. Rounds end when a round changes no edge; each
-round is one query whose edges are written to the shared folder, so lineage
-stays short, and one that counts and hashes them.
+star's edges are written to the shared folder, so lineage stays short, and
+counted and hashed once a round.
 """
 
 from __future__ import annotations
@@ -52,8 +52,8 @@ def connected_components(edges: DataFrame, a: str, b: str, node: str = "node", g
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        # one written table a round; a large star never adds edges, so the count bounds both stars
-        e = materialize(_small_star(_large_star(e, before[0]), before[0]), "edges")
+        # a large star never adds edges, so the count bounds both stars; each is written, which keeps the plans small
+        e = materialize(_small_star(materialize(_large_star(e, before[0]), "edges"), before[0]), "edges")
         now = _state(e)
         if now == before:
             break
