@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblyst.functions.text import content_key, content_tokens, doi_prefix, journal_name, title_sim
+from biblyst.session import materialize
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -27,6 +28,15 @@ def resolve_sources(journals: DataFrame, sources: DataFrame) -> DataFrame:
     return first_by(j.join(s, "n", "left"), ["journal"], F.desc_nulls_last("works"), F.col("source").asc_nulls_last()).select("journal", "source", "works")
 
 
+def _rarest(rows: DataFrame, tokens: str, freq: DataFrame, part: float) -> DataFrame:
+    """``rows`` once per word w of their n - ceil(part * n) + 1 rarest words; ``_id`` tells the rows apart and is dropped."""
+    each = rows.select("_id", F.explode(tokens).alias("w")).join(freq, "w", "left")
+    order = F.array_sort(F.collect_set(F.struct(F.coalesce("f", F.lit(0)).alias("f"), F.col("w").alias("w"))))
+    n = F.size("_o")
+    few = each.groupBy("_id").agg(order.alias("_o")).select("_id", F.explode(F.slice("_o", F.lit(1), n - F.ceil(n * part - 1e-9).cast("int") + 1)).alias("x")).select("_id", F.col("x.w").alias("w"))
+    return rows.join(few, "_id").drop("_id")
+
+
 def title_match(papers: DataFrame, works: DataFrame, trusted: DataFrame | None = None, fuzzy: float | None = 0.9, year_slack: int = 1, least: int = 3) -> DataFrame:
     """(handle, doi, content_sim, match_type): papers and works of one source with the same content words.
 
@@ -43,12 +53,18 @@ def title_match(papers: DataFrame, works: DataFrame, trusted: DataFrame | None =
     exact = first_by(p.join(w, ["source", "key"]).where(near), ["handle"], F.col("doi")).select("handle", "doi", F.lit(1.0).alias("content_sim"), F.lit("exact").alias("match_type"))
     if fuzzy is None:
         return exact
-    rest = p.join(exact, "handle", "left_anti")
-    # blocks are (source, word); pairs come together once per shared word and are counted
-    a = rest.select("handle", "source", "year", F.size("tok").alias("n"), F.explode("tok").alias("w"))
-    b = w.select("doi", "source", "w_year", F.size("w_tok").alias("m"), F.explode("w_tok").alias("w"))
-    shared = a.join(b, ["source", "w"]).where(near).groupBy("handle", "doi", "n", "m").agg(F.count("*").alias("s"))
-    scored = shared.withColumn("content_sim", F.col("s") / F.least("n", "m")).where(F.col("content_sim") >= fuzzy)
+    # both are read several times below
+    rest, w = materialize(p.join(exact, "handle", "left_anti"), "unmatched"), materialize(w, "works")
+    # a title that shares ``fuzzy`` of its words with a longer one shares one of its rarest few: only those are looked up
+    freq = w.select(F.explode("w_tok").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
+    a = rest.select("handle", "source", "year", "tok")
+    b = w.select("doi", "source", "w_year", "w_tok")
+    few_a = _rarest(a.withColumn("_id", F.xxhash64("handle", "source", "year")), "tok", freq, fuzzy).join(b.select("doi", "source", "w_year", "w_tok", F.explode("w_tok").alias("w")), ["source", "w"]).where(F.size("tok") <= F.size("w_tok"))
+    few_b = _rarest(b.withColumn("_id", F.xxhash64("doi", "source", "w_year", F.array_join("w_tok", " "))), "w_tok", freq, fuzzy).join(a.select("handle", "source", "year", "tok", F.explode("tok").alias("w")), ["source", "w"]).where(F.size("w_tok") < F.size("tok"))
+    cols = ["handle", "doi", "tok", "w_tok"]
+    pairs = few_a.where(near).select(*cols).unionByName(few_b.where(near).select(*cols))
+    sim = F.size(F.array_intersect("tok", "w_tok")) / F.least(F.size("tok"), F.size("w_tok"))
+    scored = pairs.select("handle", "doi", sim.alias("content_sim")).where(F.col("content_sim") >= fuzzy)
     best = first_by(scored, ["handle"], F.desc("content_sim"), F.col("doi")).select("handle", "doi", "content_sim", F.lit("fuzzy").alias("match_type"))
     return exact.unionByName(best)
 

@@ -201,7 +201,7 @@ def versions_bidirectional(spark: SparkSession, d: str) -> DataFrame:
     return both.join(articles(spark, d, "title").select(F.col("handle").alias("other"), "title"), "other", "left").select("handle", "other", "type", "title")
 
 
-@query(f"""WITH {C}, e AS (SELECT DISTINCT citing, cited FROM c), few AS (SELECT cited FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), x AS (SELECT * FROM e WHERE cited IN (SELECT cited FROM few)), r AS (SELECT citing, count(*) AS n FROM e GROUP BY 1),
+@query(f"""WITH {C}, e AS (SELECT DISTINCT citing, cited FROM c), x AS (SELECT * FROM e), r AS (SELECT citing, count(*) AS n FROM e GROUP BY 1),
   p AS (SELECT x.citing AS a, y.citing AS b, count(*) AS shared FROM x JOIN x y ON x.cited = y.cited AND x.citing < y.citing GROUP BY ALL HAVING count(*) >= 2)
   SELECT a, b, shared, round(shared / (ra.n + rb.n - shared), 6) AS strength FROM p JOIN r ra ON ra.citing = a JOIN r rb ON rb.citing = b""")
 def bibliographic_coupling(spark: SparkSession, d: str) -> DataFrame:
