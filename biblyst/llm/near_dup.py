@@ -42,6 +42,7 @@ MASK_WORDS = 8
 #: Members of a large bucket that one task holds against its loose members.
 BUCKET_PART = 1000
 POOL = 1 << 16  # entries of the table of random variates
+SLICE = 1 << 15  # shingles that are sampled together
 U = np.uint64
 
 
@@ -94,31 +95,41 @@ def _pool() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (g.gamma(2, 1, POOL).astype(np.float32), np.log(g.gamma(2, 1, POOL)).astype(np.float32), g.random(POOL).astype(np.float32))
 
 
+def _ordered(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the same order as the floats."""
+    bits = a.view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(U)
+
+
 def icws_bands(h: np.ndarray, w: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(texts, bands) band keys. Each sample is the shingle with the least a = c / (y e^r), y on the shingle's own grid."""
     r_pool, c_pool, b_pool = _pool()
-    base = (c_pool - r_pool * (1 - b_pool)).astype(np.float32)  # ln a for weight 1: the grid step t is 0
-    at = offsets[:-1]
+    base = _ordered((c_pool - r_pool * (1 - b_pool)).astype(np.float32)) << U(32)  # ln a for weight 1: the grid step t is 0
     h = h.view(U)
-    odd = np.flatnonzero(w != 1)
-    lw = np.log(w[odd]).astype(np.float32)
+    log_w = np.log(w).astype(np.float32)
     g = np.random.default_rng(7)
-    keys = np.zeros((len(at), bands), U)
-    low = mix(h) & U(0xFFFFFFFF)
-    for k in range(bands * rows):
-        seed = U(g.integers(1 << 63))
-        idx = (mix(h ^ seed) >> U(48)).astype(np.int64)
-        a = base[idx]
-        if len(odd):
-            i = idx[odd]
-            r = r_pool[i]
-            b = b_pool[i]
-            a[odd] = c_pool[i] - r * (np.floor(lw / r + b) - b + 1)
-        bits = a.view(np.uint32)
-        bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))  # same order as the floats
-        least = np.minimum.reduceat((bits.astype(U) << U(32)) | low, at) & U(0xFFFFFFFF)
-        band = k // rows
-        keys[:, band] = mix(keys[:, band] * U(31) + least + U(band + 1))
+    seeds = [U(g.integers(1 << 63)) for _ in range(bands * rows)]
+    keys = np.zeros((len(offsets) - 1, bands), U)
+    # texts go in slices whose arrays stay in the processor's cache
+    cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1], SLICE)), len(offsets) - 1))
+    for first, last in zip(cuts, cuts[1:]):
+        part = h[offsets[first] : offsets[last]]
+        at = offsets[first:last] - offsets[first]
+        low = mix(part) & U(0xFFFFFFFF)
+        odd = np.flatnonzero(w[offsets[first] : offsets[last]] != 1)
+        lw = log_w[offsets[first] : offsets[last]][odd]
+        out = keys[first:last]
+        for k, seed in enumerate(seeds):
+            idx = (mix(part ^ seed) >> U(48)).view(np.int64)
+            a = base[idx]
+            if len(odd):
+                i = idx[odd]
+                r = r_pool[i]
+                b = b_pool[i]
+                a[odd] = _ordered(c_pool[i] - r * (np.floor(lw / r + b) - b + 1)) << U(32)
+            least = np.minimum.reduceat(a | low, at) & U(0xFFFFFFFF)
+            band = k // rows
+            out[:, band] = mix(out[:, band] * U(31) + least + U(band + 1))
     return keys
 
 
@@ -249,9 +260,11 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, n: int = 5, weighted:
     reps = materialize(sets.groupBy("fp1", "fp2").agg(F.min_by("rid", "id").alias("rep"), F.count("*").alias("copies")), "copies")
     groups = sets.select("id", "rid", "fp1", "fp2")
     hot = reps.where("copies > 1")
-    copies = groups.join(hot, ["fp1", "fp2"]).where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
-    uniq = sets.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi") if hot.limit(1).count() else sets
-    uniq = materialize(uniq.select("rid", "shingles", "tf"), "sets") if hot.limit(1).count() else sets
+    copies = materialize(groups.join(hot, ["fp1", "fp2"]).where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b")), "copy-links")
+    uniq = sets.select("rid", "shingles", "tf")
+    if copies.limit(1).count():
+        # the copies leave, so the sets stay where they are unless there are many copies
+        uniq = materialize(uniq.join(small(copies.select(F.col("b").alias("rid"))), "rid", "left_anti"), "sets")
     values, counts, total = heavy_hitters(uniq, "shingles", FREQUENT)
     weights = Weights(values, counts, total)
     keys = materialize(band_keys(uniq, weights, bands, rows), "bands")
@@ -299,5 +312,8 @@ def _large_buckets(keys: DataFrame, big: DataFrame, linked: DataFrame, sets: Dat
     split = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")
     rows = rows.join(parts, "key").select("key", "rid", "comp", split)
     loose = loose.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    pairs = rows.join(loose, ["key", "part"]).where("comp <> cx").select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
-    return materialize(verify(pairs, keys, sets, weights, weighted, plain).unionByName(linked.select("a", "b")).distinct(), "links")
+    pairs = materialize(rows.join(loose, ["key", "part"]).where("comp <> cx").select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct(), "loose")
+    if not pairs.limit(1).count():
+        return linked
+    members = small(materialize(rows.select("rid").distinct(), "large-ids"))
+    return materialize(verify(pairs, keys.join(members, "rid", "left_semi"), sets, weights, weighted, plain).unionByName(linked.select("a", "b")).distinct(), "links")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from biblyst.llm import near_dup
 from biblyst.llm.components import connected_components
 from biblyst.llm.heavy import heavy_hitters
 from biblyst.llm.near_dup import Weights, band_keys, icws_bands, near_duplicates, possible, shingle_sets
@@ -137,3 +138,17 @@ def test_weights():
     x = Weights(np.array([5, 9]), np.array([10, 1000]), 1000)
     w = x(np.array([5, 9, 7]), np.array([1, 1, 2]))
     assert w[1] < w[0] < 1 < w[2]
+
+
+def test_few_copies_leave_without_a_shuffle_of_the_sets(spark, monkeypatch):
+    plans = {}
+    keep = near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, label="t": (plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()), keep(df, label))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = corpus()
+        got = {r["id"]: r["group_id"] for r in near_duplicates(spark.createDataFrame(docs, "i string, t string"), "i", "t", n=3, weighted=0.4, plain=0.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(dict(docs).items(), 3, 0.5) and "Exchange hashpartitioning" not in plans["sets"]
