@@ -1,7 +1,11 @@
 """Splitting packed fields: shapes of names, quoting, dirt."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from biblyst.operators import packed
 from biblyst.operators.packed import split_packed
 
 CASES = [
@@ -39,3 +43,13 @@ def test_nulls_repeats_clashing_names_and_long_text(spark):
     assert got.columns == ["id", "pos", "value"]
     assert got.where("id = 1").count() == 0 and got.where("id = 2").count() == 4 and got.where("id = 3").count() == 5000
     assert split_packed(df.limit(0), "f", ["id"]).count() == 0
+
+
+def test_long_rules_are_not_broadcast(spark, monkeypatch):
+    # few skeletons, but more bytes of rules than the driver should hold
+    monkeypatch.setattr(packed, "BROADCAST_BYTES", 10_000, raising=False)
+    rows = [(k, ";".join(["Ann Lee"] * (60 + k))) for k in range(20)] + [(60 + k, "Ann Lee; Bo Li") for k in range(300)]
+    got = split_packed(spark.createDataFrame(rows, "k long, a string"), "a", ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[skeleton#\d+\], \[skeleton#\d+\], Inner", plan)
+    assert got.groupBy("k").agg(F.max("pos").alias("p"), F.count("*").alias("n")).where("p = n").agg(F.count("*"), F.sum("n")).first()[:] == (320, sum(60 + k for k in range(20)) + 600)
