@@ -57,7 +57,7 @@ PER = 4  # tables a task searches together
 YEARS, YEAR_GROUPS = 3, 16  # years in a group of years; groups are taken modulo YEAR_GROUPS
 YEAR_SLACK = 2
 NO_YEAR = -(1 << 14)
-#: An identifier that more left records carry was copied about and identifies none of them.
+#: Left records of one identifier that one task holds against its right ones.
 COPIED = 200
 #: Right records on whose likeliest labelled pairs the confidence is fitted.
 CALIBRATION_ROWS = 50_000
@@ -587,9 +587,13 @@ def match_records(left: DataFrame, right: DataFrame) -> DataFrame:
     key = ["years", "tables", "first"]
     found = sent.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "side").mapInArrow(_probe(t), "a long, b long").distinct()
     # a plain join of equal identifiers, for pairs that their titles do not bring together
-    keyed = records.where("doi is not null").select("side", "rid", "doi")
-    owners = keyed.where("side = 0").groupBy("doi").agg(F.count("*").alias("n")).where(f"n <= {COPIED}").select("doi")
-    by_doi = keyed.where("side = 0").join(owners, "doi", "left_semi").select("doi", F.col("rid").alias("a")).join(keyed.where("side = 1").select("doi", F.col("rid").alias("b")), "doi").select("a", "b")
+    keyed = records.where("doi is not null").select("side", "rid", "doi", F.col("year").cast("long").alias("year"))
+    # the left records of an identifier copied about are split, and each part meets copies of the right ones
+    owners = keyed.where("side = 0").groupBy("doi").agg((1 + F.count("*") / COPIED).cast("int").alias("parts"))
+    ours = keyed.where("side = 0").join(owners, "doi").select("doi", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), F.col("rid").alias("a"), F.col("year").alias("year_a"))
+    theirs = keyed.where("side = 1").join(owners, "doi").select("doi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rid").alias("b"), F.col("year").alias("year_b"))
+    # years too far apart are never possible in ``compare``
+    by_doi = ours.join(theirs, ["doi", "part"]).where(f"year_a is null or year_b is null or abs(year_a - year_b) <= {YEAR_SLACK}").select("a", "b")
     pairs = materialize(found.withColumn("near", F.lit(True)).unionByName(by_doi.withColumn("near", F.lit(False))).groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
     names = records.where("side = 0 and journal <> ''").select("journal").distinct().withColumn("known", F.lit(True))
     la = records.where("side = 0").select(F.col("rid").alias("a"), F.col("id").alias("left_id"), *[F.col(c).alias(f"{c}_a") for c in attributes])
